@@ -96,7 +96,7 @@ def upsert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             con.register("incoming", group)
             con.execute(_UPSERT)
             con.unregister("incoming")
-        result = con.execute(f"select {_COLUMNS} from state").to_arrow_table()
+        result = con.sql(f"select {_COLUMNS} from state").to_arrow_table()
         yield from result.cast(_arrow_schema()).to_batches(max_chunksize=20_000)
     finally:
         con.close()
