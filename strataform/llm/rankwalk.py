@@ -1,17 +1,20 @@
 """One ranking from several differently scaled scores, by a walk over ranks.
 
-From an item, the walker picks one of the query's score lists at random and
-jumps to an item that this list places at least as high, each with the same
-chance; an item the list doesn't hold stands below all it holds.  With a small
-chance it jumps anywhere.  Where the walker is found most often is the best
-item.  Only places matter, so no list weighs more for the range of its scores.
-
-One step needs, in each list, the sum over all items at or below a place of
-their probability divided by the number of items they may jump to: a suffix
-sum over the sorted list.  Queries up to ``group_rows`` hits are walked in
-memory, one query at a time.  Larger ones are cut into blocks of consecutive
-places: block totals give each block its offset, so that no task ever holds
-more than a block.  Both ways do the same arithmetic.
+The walker stands on an item of the query.  It picks one of the query's score
+lists at random and any of the query's items at random, and jumps there if the
+list places that item higher than its own; otherwise it stays.  So it jumps to
+each higher-ranked item with the same chance, and the rarer the higher it
+stands.  An item the list doesn't hold stands below all it holds.  With a
+small chance the walker jumps anywhere.  Where it is found most often is the
+best item.  Only places matter, so no list weighs more for the range of its
+scores.  (Were the walker to jump at every step, an item that leads a single
+list would gather more than one that stands high in all.)
+
+One step needs, in each list, the probability of all items below a place: a
+suffix sum over the sorted list.  Queries up to ``group_rows`` hits are walked
+in memory, one query at a time.  Larger ones are cut into blocks of
+consecutive places: block totals give each block its offset, so that no task
+ever holds more than a block.  Both ways do the same arithmetic.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql.window import Window
 
 from strataform.workspace import staged
 
-DAMPING = 0.9
-STEPS = 60
+DAMPING = 0.85
+STEPS = 80
 TOLERANCE = 1e-10
 
 
@@ -51,8 +54,8 @@ def placed(hits: DataFrame, lists: DataFrame) -> DataFrame:
 def walk(lists: list[tuple[np.ndarray, np.ndarray]], items: int, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
     """Stationary probabilities of ``items`` items.
 
-    Each list is ``(item indexes, keys)``.  Items tied in a list stand on one
-    place and may jump to each other.
+    Each list is ``(item indexes, keys)``; a smaller key is better.  Items tied
+    in a list share a place and don't jump to each other.
     """
     prepared = []
     for index, key in lists:
@@ -60,15 +63,15 @@ def walk(lists: list[tuple[np.ndarray, np.ndarray]], items: int, damping: float
         index, key = index[order], key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        prepared.append((index, starts[group], ends[group].astype(float), np.setdiff1d(np.arange(items), index, assume_unique=True)))
+        tie = np.repeat(np.arange(len(starts)), ends - starts)
+        prepared.append((index, starts[tie], ends[tie], np.setdiff1d(np.arange(items), index, assume_unique=True)))
     p = np.full(items, 1.0 / items)
     for _ in range(steps):
         flow = np.zeros(items)
-        for index, first, reach, missing in prepared:
-            share = p[index] / reach
-            below = np.cumsum(share[::-1])[::-1]  # sum from a row to the end
-            flow[index] += below[first] + p[missing].sum() / len(index)
+        for index, above, end, missing in prepared:
+            tail = np.r_[np.cumsum(p[index][::-1])[::-1], 0.0]  # from a row to the end
+            flow[index] += (tail[end] + p[missing].sum()) / items + p[index] * (items - above) / items
+            flow[missing] += p[missing] * (items - len(index)) / items
         new = damping * flow / len(prepared) + (1 - damping) / items
         moved = np.abs(new - p).sum()
         p = new
@@ -103,41 +106,36 @@ def _walk_blocks(rows: DataFrame, block_rows: int, damping: float, steps: int) -
     before = F.coalesce(F.sum("part_n").over(Window.partitionBy(*one).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select(*one, "part", before.alias("before"))
     ends = ranged.withColumn("end", F.sum("n").over(inside)).join(offsets, [*one, "part"]).select(*one, "key", (F.col("end") + F.col("before")).alias("reach"), "n")
-    entries = staged(
+    entries = (
         rows.join(ends, [*one, "key"])
         # reach: items at this place or above; the block is one of consecutive places
-        .select(*one, "id", "reach", (F.floor((F.col("reach") - 1) / block_rows)).alias("block")),
-        "walk-entries",
+        .select(*one, "id", "reach", (F.col("reach") - F.col("n")).alias("above"), (F.floor((F.col("reach") - 1) / block_rows)).alias("block"))
     )
-    sizes = entries.groupBy("query_id").agg(F.countDistinct("list_id").alias("lists"), F.approx_count_distinct("id").alias("_"))
     lengths = entries.groupBy(*one).agg(F.count("*").alias("length"))
+    entries = staged(entries.join(lengths, one), "walk-entries")
     count = entries.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("items"))
-    sizes = staged(sizes.drop("_").join(count, "query_id"), "walk-sizes")
-    lengths = staged(lengths, "walk-lengths")
-    mass = staged(entries.select("query_id", "id").distinct().join(sizes, "query_id").select("query_id", "id", (1 / F.col("items")).alias("mass")), "walk-mass")
+    lists = lengths.groupBy("query_id").agg(F.count("*").alias("lists"), F.sum("length").alias("lengths"))
+    sizes = staged(lists.join(count, "query_id"), "walk-sizes")
+    # what an item keeps while the walker looks at lists: its own place in those that hold it, the bottom of the others
+    own = entries.groupBy("query_id", "id").agg(F.count("*").alias("in_lists"), F.sum("length").alias("in_length"), F.sum("above").alias("above")).join(sizes, "query_id")
+    stays = F.col("lists") - (F.col("above") + F.col("lengths") - F.col("in_length")) / F.col("items")
+    items = staged(own.select("query_id", "id", "items", "lists", stays.alias("stays")), "walk-items")
+    mass = items.select("query_id", "id", (1 / F.col("items")).alias("mass"))
     for _ in range(steps):
-        share = entries.join(mass, ["query_id", "id"]).withColumn("share", F.col("mass") / F.col("reach"))
-        places = staged(share.groupBy(*one, "block", "reach").agg(F.sum("share").alias("share"), F.sum("mass").alias("mass")), "walk-places")
-        totals = places.groupBy(*one, "block").agg(F.sum("share").alias("total"), F.sum("mass").alias("held"))
+        places = staged(entries.join(mass, ["query_id", "id"]).groupBy(*one, "block", "reach").agg(F.sum("mass").alias("mass")), "walk-places")
+        totals = places.groupBy(*one, "block").agg(F.sum("mass").alias("total"))
         later = Window.partitionBy(*one).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        tails = totals.select(*one, "block", F.coalesce(F.sum("total").over(later), F.lit(0.0)).alias("tail"), F.sum("held").over(Window.partitionBy(*one)).alias("held"))
+        tails = totals.select(*one, "block", F.coalesce(F.sum("total").over(later), F.lit(0.0)).alias("tail"), F.sum("total").over(Window.partitionBy(*one)).alias("held"))
         inner = Window.partitionBy(*one, "block").orderBy(F.col("reach").desc())
-        flows = (
-            places.withColumn("below", F.sum("share").over(inner))
-            .join(tails, [*one, "block"])
-            .join(lengths, one)
-            .select(*one, "block", "reach", (F.col("below") + F.col("tail") + (1 - F.col("held")) / F.col("length")).alias("flow"))
-        )
-        new = (
-            entries.join(flows, [*one, "block", "reach"])
-            .groupBy("query_id", "id")
-            .agg(F.sum("flow").alias("flow"))
-            .join(sizes, "query_id")
-            .select("query_id", "id", (damping * F.col("flow") / F.col("lists") + (1 - damping) / F.col("items")).alias("mass"))
-        )
+        arrivals = (F.col("below") - F.col("mass") + F.col("tail") + 1 - F.col("held")).alias("arrivals")
+        flows = places.withColumn("below", F.sum("mass").over(inner)).join(tails, [*one, "block"]).select(*one, "block", "reach", arrivals)
+        came = entries.join(flows, [*one, "block", "reach"]).groupBy("query_id", "id").agg(F.sum("arrivals").alias("arrivals"))
+        moved_to = (F.col("arrivals") / F.col("items") + F.col("mass") * F.col("stays")) / F.col("lists")
+        new = came.join(items, ["query_id", "id"]).join(mass, ["query_id", "id"])
+        new = new.select("query_id", "id", (damping * moved_to + (1 - damping) / F.col("items")).alias("new"), "mass")
         new = staged(new, "walk-mass")
-        moved = new.alias("a").join(mass.alias("b"), ["query_id", "id"]).agg(F.sum(F.abs(F.col("a.mass") - F.col("b.mass")))).first()[0]
-        mass = new
+        moved = new.agg(F.sum(F.abs(F.col("new") - F.col("mass")))).first()[0]
+        mass = new.select("query_id", "id", F.col("new").alias("mass"))
         if (moved or 0.0) < TOLERANCE:
             break
     return mass.select(F.col("query_id").cast("long").alias("query_id"), "id", "mass")
