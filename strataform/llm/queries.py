@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import packing, rankwalk, splitting, tokens
+from strataform.llm import packing, rankwalk, spam, splitting, tokens
 from strataform.sources.tables import table
 
 DOC_LIMIT, CHUNK_LIMIT, OVERLAP, BATCH_CHARS = 8000, 1200, 150, 4000
@@ -41,6 +41,14 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(p8_ids(spark, d))
 
 
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spam.judged(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents", "doc_id", "text"))
+
+
 _P4_SQL = """
 with items as (
     select 'doc' as record_kind, doc_id as record_id, text, 8000 as lim from eval_docs
@@ -55,7 +63,7 @@ from over_limit group by record_kind, record_id
 
 
 def queries() -> dict:
-    names = (p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded)
+    names = (p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p10_found, p10_shares)
     return {f.__name__: f for f in names}
 
 
