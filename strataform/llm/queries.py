@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import packing, rankwalk, spam, splitting, tokens
+from strataform.llm import markup, packing, rankwalk, spam, splitting, tokens
 from strataform.sources.tables import table
 
 DOC_LIMIT, CHUNK_LIMIT, OVERLAP, BATCH_CHARS = 8000, 1200, 150, 4000
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = markup.clean_documents(table(spark, d, "eval_docs", "doc_id", "text"), F.col("doc_id"), F.col("text"))
+    crumbs = markup.clean_breadcrumbs(table(spark, d, "chunks", "id", "breadcrumbs"), F.col("id"), F.col("breadcrumbs"))
+    return docs.unionByName(crumbs)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_found(p1_clean(spark, d))
+
+
 def p3_order(spark: SparkSession, d: str) -> DataFrame:
     return rankwalk.rank_walk(table(spark, d, "search_hits", "query_id", "list_id", "id", "score"), table(spark, d, "score_lists", "list_id", "better"))
 
@@ -63,7 +73,7 @@ from over_limit group by record_kind, record_id
 
 
 def queries() -> dict:
-    names = (p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p10_found, p10_shares)
+    names = (p1_found, p1_clean, p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p10_found, p10_shares)
     return {f.__name__: f for f in names}
 
 
