@@ -304,7 +304,7 @@ class _Reader:
         paragraph: list[str] = []
         stars: list[int] = []  # list lines that Markdown and wikis share
         hashes: list[int] = []
-        wiki_table = False
+        wiki_table = tabular = False
 
         def flush() -> None:
             if paragraph:
@@ -338,7 +338,7 @@ class _Reader:
                 flush()
                 put(re.sub(r"</?t[dh]\b[^<>]*>", " ", s[1:]), "item" if c == "\ue003" else "row")
                 continue
-            if c.isalnum() and "|" not in s and "&" not in s:  # most lines
+            if c.isalnum() and "|" not in s and not ("&" in s and (tabular or "\\" in s or s.count(" & ") > 1)):  # most lines
                 following = lines[i + 1] if i + 1 < len(lines) else ""
                 if following[:1] in ("=", "-") and _SETEXT.match(following) and not paragraph:
                     self.found.add("markdown")
@@ -378,8 +378,10 @@ class _Reader:
                     self.found.add("latex")
                     put((m[1] + " " if m[1] else "") + line[m.end() :], "item")
                     continue
-                if _ENV.search(line):
+                if m := _ENV.search(line):
                     flush()
+                    if "tab" in m.group() or "array" in m.group():
+                        tabular = m.group().startswith("\\begin")
                     self.found.add("latex")
                     rest = _ENV.sub("", line)
                     put(rest, "row" if "&" in rest else "" if rest.strip() else "fence")
@@ -439,7 +441,7 @@ class _Reader:
                 flush()
                 put(" | ".join(x.strip() for x in s.strip("|").split("|")), "row")
                 continue
-            if "&" in s and re.search(r"\s&\s.*\\\\\s*$|^[^&]*(?:\s&\s[^&]*){2,}$", s):
+            if "&" in s and (tabular or re.search(r"\s&\s.*\\\\\s*$|^[^&]*(?:\s&\s[^&]*){2,}$", s)):
                 flush()
                 put(re.sub(r"\\\\(?:\[[^\]]*\])?\s*$|\\hline", "", s).replace(" & ", " | "), "row")
                 if s.rstrip().endswith("\\\\"):
@@ -496,6 +498,9 @@ LABELLED = [
     ("residue", "", "Next page", 2), ("text", "", "The costs rose by 8 percent, as the report says (see the link to the page), which nobody had expected.", 3), ("heading", "heading", "Scope", 1), ("list", "item", "the plan", 2),
     ("list", "item", "the list of the open points", 5), ("text", "", "合計を確かめる。日程を確かめる。", 0), ("heading", "heading", "概要", 0), ("text", "", "n = p * q + 1.", 0), ("text", "quote", "score = 1 / (k + rank).", 0),
     ("text", "", "x", 0), ("residue", "fence", "", 0), ("text", "", "It took 68 days until the travel desk archived the contract.\nNobody merged the plan.", 0), ("table", "row", "name | 12 | 4.50 | see the plan", 2), ("code", "code", "", 0),
+    ("residue", "fence", "", 0), ("text", "", "End of it.", 0), ("residue", "fence", "", 0), ("residue", "fence", "", 0), ("text", "", "Nothing else was found in the third sample of the year.", 0),
+    ("residue", "fence", "", 0), ("heading", "heading", "Annex", 0), ("residue", "fence", "", 0), ("list", "item", "close it", 0), ("residue", "fence", "", 0), ("table", "row", "c | d", 0),
+    ("residue", "fence", "", 0), ("formula", "formula", "n", 0), ("residue", "fence", "", 0), ("code", "code", "rm -r old", 0),
     ("residue", "", "", 1), ("text", "", "Ask the desk for a copy; the office only holds the summary. More is in the plan and in the older report of the audit office.", 4),
 ]
 
