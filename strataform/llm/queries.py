@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import markup, packing, rankwalk, spam, splitting, tokens
+from strataform.llm import ann, markup, packing, rankwalk, spam, splitting, tokens
 from strataform.sources.tables import table
 
 DOC_LIMIT, CHUNK_LIMIT, OVERLAP, BATCH_CHARS = 8000, 1200, 150, 4000
@@ -21,6 +21,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.markup_found(p1_clean(spark, d))
 
 
+def _current(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Vectors of the current space; the table of spaces is fixed and has one current row."""
+    space = table(spark, d, "embedding_spaces", "model_id", "revision", "dims", "is_current").where("is_current").first()
+    same = (F.col("model_id") == space["model_id"]) & (F.col("revision") == space["revision"])
+    return table(spark, d, "snapshot_vectors", "model_id", "revision", "chunk_id", "embedding").where(same).select("chunk_id", "embedding"), space["dims"]
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors, dims = _current(spark, d)
+    return ann.nearest(vectors, dims, probes=4)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors, dims = _current(spark, d)
+    return ann.pairs(ann.nearest(vectors, dims, table(spark, d, "probe_vectors", "chunk_id")))
+
+
 def p3_order(spark: SparkSession, d: str) -> DataFrame:
     return rankwalk.rank_walk(table(spark, d, "search_hits", "query_id", "list_id", "id", "score"), table(spark, d, "score_lists", "list_id", "better"))
 
@@ -73,7 +90,7 @@ from over_limit group by record_kind, record_id
 
 
 def queries() -> dict:
-    names = (p1_found, p1_clean, p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p10_found, p10_shares)
+    names = (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p10_found, p10_shares)
     return {f.__name__: f for f in names}
 
 
