@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Bound of the sample that is fitted, and of the number of lists (hence of what is broadcast: 4096 x dims floats).
-SAMPLE, MAX_LISTS = 32_768, 4096
+SAMPLE, MAX_LISTS = 16_384, 4096
 SLICE, CODES = 8, 256
 PROBES, RERANK, K = 8, 100, 10
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
@@ -100,7 +100,7 @@ def fit(sample: np.ndarray, rows: int, queries: int, probes: int = PROBES, seed:
     groups = max(1, lists // 8)
     middle = kmeans(centroids, groups, 8, rng, True)
     group = _nearest(centroids, middle)
-    left = _slices((sample - centroids[at])[: SAMPLE // 2])
+    left = _slices((sample - centroids[at])[:SAMPLE])
     books = np.stack([kmeans(left[:, m], CODES, 6, rng, False) for m in range(left.shape[1])])
     share = np.bincount(group[at], minlength=groups) / len(sample)
     visits = np.zeros(groups)
@@ -267,7 +267,7 @@ def nearest(vectors: DataFrame, dims: int, ids: DataFrame | None = None, k: int
     good = usable(vectors, dims)
     rows = vectors.count()  # of ids only: the embeddings aren't read for it
     every = max(1, -(-rows // sample))
-    picked = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0).select("embedding").limit(2 * sample).toArrow()
+    picked = good.where(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0).select("embedding").limit(sample + sample // 4).toArrow()
     x = _matrix(picked.column(0), dims) if picked.num_rows else np.zeros((0, dims), np.float32)
     if not len(x) and every > 1:
         x = _matrix(good.select("embedding").limit(sample).toArrow().column(0), dims)

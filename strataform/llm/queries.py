@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import ann, markup, packing, rankwalk, spam, splitting, tokens
+from strataform.llm import ann, markup, mixing, packing, rankwalk, spam, splitting, tokens
 from strataform.sources.tables import table
 
 DOC_LIMIT, CHUNK_LIMIT, OVERLAP, BATCH_CHARS = 8000, 1200, 150, 4000
@@ -68,6 +68,18 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(p8_ids(spark, d))
 
 
+def _mixed(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.mix(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets", "source", "target_share", "max_repeats"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).drawn
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).shares
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.judged(table(spark, d, "documents", "doc_id", "text"))
 
@@ -90,7 +102,7 @@ from over_limit group by record_kind, record_id
 
 
 def queries() -> dict:
-    names = (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p10_found, p10_shares)
+    names = (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_shares)
     return {f.__name__: f for f in names}
 
 
