@@ -96,6 +96,8 @@ class _Cutter:
             if cut is None and lead:  # give up the repeated part before cutting by force
                 lead, highest = 0, min(prev + self.limit, self.n - 1)
                 cut = self._snap(min(target, highest), prev + 1, highest, self.limit // 5)
+            if cut is None and self.n - prev <= self.limit:
+                break  # the rest is one piece
             strength = HARD if cut is None else self.strength[cut]
             cut = min(target, highest) if cut is None else cut
             out.append(Piece(prev - lead, cut, lead, strength))
@@ -103,8 +105,8 @@ class _Cutter:
             prev = cut
             if self.n - prev + lead <= self.limit and j < pieces - 1:
                 break
-        if self.n - prev + lead > self.limit:
-            lead = max(0, self._lead(prev, out[-1].start + out[-1].overlap, self.limit - (self.n - prev)))
+        if self.n - prev + lead > self.limit and out:
+            lead = self._lead(prev, out[-1].start + out[-1].overlap, self.limit - (self.n - prev))
         if self.n - prev + lead > self.limit:
             return None
         out.append(Piece(prev - lead, self.n, lead, PARAGRAPH))
