@@ -21,3 +21,46 @@ def trim_all(text: Column) -> Column:
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only texts."""
     return text.isNull() | ~text.rlike(r"(?U)\S")
+
+
+#: The white space characters of the ECMAScript language.
+WHITE = "\t\n\v\f\r                  　﻿"
+
+
+def collapse_space(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x{FEFF}]+", " "))
+
+
+def snippet(text: Column, limit: int = 180) -> Column:
+    """The beginning of a text on one line; a cut one ends with an ellipsis."""
+    line = collapse_space(text)
+    return F.when(F.length(line) > limit, F.concat(F.rtrim(F.substring(line, 1, limit)), F.lit("…"))).otherwise(line)
+
+
+def clean_inline(text: Column) -> Column:
+    """A heading without links, emphasis and closing marks."""
+    shown = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    return trim_all(F.regexp_replace(F.regexp_replace(shown, r"[*_`]", ""), r"(?U)\s+#+\s*$", ""))
+
+
+def sentences(text: Column) -> Column:
+    """A text cut after full stops, exclamation and question marks."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
+
+
+def xml_escape(text: Column) -> Column:
+    """The five characters that XML reserves, the ampersand first."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
+
+
+def epoch_millis(text: Column) -> Column:
+    """Milliseconds since 1970 of an RFC 3339 text; 0 where it is null or unreadable."""
+    return F.coalesce(F.unix_millis(instant(text)), F.lit(0))

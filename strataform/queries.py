@@ -2,11 +2,309 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strataform.operators import changefeed, incremental
+from strataform.functions import hashing, numbers, text
+from strataform.operators import batching, changefeed, evaluation, exporting, fusion, incremental, indexing, lexical, merging, presentation, vectors
+from strataform.operators.chunking import chunk_documents as chunked
+from strataform.operators.embedding import HASHED, Embedder
+from strataform.plans.hybrid import HybridSearcher, build_index
+from strataform.sources import catalog, generators
+from strataform.sources.snapshots import SnapshotStore
 from strataform.sources.tables import table
+from strataform.sources.versions import VersionedTable
+from strataform.streaming.debounce import debounce
+from strataform.streaming.sync import intents
+from strataform.workspace import hadoop, run_dir
+
+#: Stated queries of the lexical searches.
+QUERIES = [(1, "budget sheet"), (2, "warehouse shift rebuild"), (3, "rapport incident"), (4, "Störungsbericht Zahlen"), (5, "meeting notes room")]
+TERMS = ["invoic", "retention", "shedule", "qarterly", "plan", "warehouse"]
+_QUERY_VALUES = ", ".join(f"({i}, '{t}')" for i, t in QUERIES)
+_TERM_VALUES = ", ".join(f"('{t}')" for t in TERMS)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings", "vec_id", "embedding", "label")
+
+
+def _searched(rows: DataFrame, stated: DataFrame, k: int) -> DataFrame:
+    hits = vectors.search(rows.select(F.col("vec_id").alias("id"), "embedding"), stated.select(F.col("vec_id").alias("query_id"), "embedding"), k, "long")
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def vector_topk(spark, d):
+    v = _vectors(spark, d)
+    return _searched(v, v.where("vec_id = 0"), 10)
+
+
+def vector_topk_batch(spark, d):
+    v = _vectors(spark, d)
+    return _searched(v, v.where("vec_id % 20 = 0"), 10)
+
+
+def vector_remove_then_search(spark, d):
+    v = _vectors(spark, d)
+    return _searched(vectors.remove(v, v.where("label = 3"), "vec_id"), v.where("vec_id = 0"), 10)
+
+
+def vector_get(spark, d):
+    v = _vectors(spark, d)
+    return vectors.get(v, v.where("label = 1").select("vec_id"), "vec_id").select("vec_id", "label")
+
+
+def vector_normalize(spark, d):
+    v = vectors.normalized(vectors.checked(_vectors(spark, d), 64).withColumn("norm", F.round(numbers.norm(F.col("embedding")), 6)))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return v.select("vec_id", "norm", F.round(total, 6).alias("total"), F.round(numbers.norm(F.col("embedding")), 6).alias("new_norm"))
+
+
+def vector_dims(spark, d):
+    return _vectors(spark, d).groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+
+
+def _coded(spark, d):
+    v = _vectors(spark, d).withColumn("scale", numbers.quantized_scale(F.col("embedding")))
+    return v.withColumn("codes", numbers.quantize(F.col("embedding"), F.col("scale")))
+
+
+def int8_roundtrip(spark, d):
+    back = numbers.dequantize(F.col("codes"), F.col("scale"))
+    error = F.array_max(F.zip_with(back, numbers.unit(F.col("embedding")), lambda a, b: F.abs(a - b)))
+    codes = F.aggregate("codes", F.lit(0), lambda s, x: s + x)
+    return _coded(spark, d).select("vec_id", F.round("scale", 6).alias("scale"), codes.alias("code_sum"), F.round(error, 5).alias("error"))
+
+
+def int8_recall_at_5(spark, d):
+    v = _vectors(spark, d)
+    back = _coded(spark, d).select("vec_id", numbers.dequantize(F.col("codes"), F.col("scale")).alias("embedding"))
+    stated = v.where("vec_id % 20 = 0")
+    a, b = (_searched(rows, stated, 5).withColumnRenamed("vec_id", "id") for rows in (v, back))
+    return evaluation.overlap(a, b, 5).select(F.round("recall", 6).alias("recall"))
+
+
+def _lexical_docs(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "name", "text")
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("name").alias("title"))
+
+
+_FIELDS = ("text", "title")
+
+
+def lexical_postings(spark, d):
+    posted = lexical.postings(_lexical_docs(spark, d), _FIELDS)
+    return posted.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def lexical_statistics(spark, d):
+    return lexical.statistics(_lexical_docs(spark, d), _FIELDS).select("field", "n", F.round("avglen", 6).alias("avglen"))
+
+
+def lexical_bm25(spark, d):
+    docs = _lexical_docs(spark, d)
+    hits = lexical.search(spark.createDataFrame(QUERIES, "query_id int, text string"), lexical.postings(docs, _FIELDS), lexical.statistics(docs, _FIELDS), 20, expand=False)
+    return hits.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def lexical_expansions(spark, d):
+    words = lexical.postings(_lexical_docs(spark, d), _FIELDS).select("term").distinct()
+    return lexical.expansions(spark.createDataFrame([(1, t) for t in TERMS], "query_id int, q string"), words).select("q", "term", F.round("weight", 6).alias("weight"))
+
+
+def lexical_search(spark, d):
+    docs = _lexical_docs(spark, d)
+    typed = spark.createDataFrame([(1, "budgt shet"), (2, "invoic templ"), (3, "  "), (4, "retentoin schedule")], "query_id int, text string")
+    return lexical.search(typed, lexical.postings(docs, _FIELDS), lexical.statistics(docs, _FIELDS), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def _ranked(spark, d, name):
+    hits = table(spark, d, "search_hits", "query_id", "list_id", "id", "score").where((F.col("list_id") == name) & F.col("id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+    best = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
+
+
+def _latest_chunks(spark, d):
+    rows = table(spark, d, "chunks", "id", "doc_id", "doc_name", "breadcrumbs", "text", "modified_time").where("id is not null")
+    last = F.max_by(F.struct("doc_id", "doc_name", "breadcrumbs", "text", "modified_time"), F.struct(text.epoch_millis(F.col("modified_time")), F.coalesce("text", F.lit(""))))
+    return rows.groupBy(F.col("id").alias("chunk_id")).agg(last.alias("c")).select("chunk_id", "c.*")
+
+
+def _fused(spark, d):
+    return fusion.reciprocal_rank_fusion([_ranked(spark, d, "vector"), _ranked(spark, d, "lexical")], recency=fusion.recency_of(_latest_chunks(spark, d)))
+
+
+def rrf_fusion(spark, d):
+    return _fused(spark, d).select("query_id", "id", F.round("score", 9).alias("score"), "fused_rank")
+
+
+def hybrid_collapse(spark, d):
+    hits = fusion.document_hits(fusion.best_chunk_per_document(_fused(spark, d), _latest_chunks(spark, d), 10))
+    return hits.select("query_id", "place", "doc_id", "doc_name", F.array_join("breadcrumbs", lexical.SEPARATOR).alias("breadcrumbs"), "snippet", F.round("score", 9).alias("score"), "chunk_id")
+
+
+def eval_metrics(spark, d):
+    lists = ("vector", "lexical", "freshness", "distance")
+    ranked = None
+    for name in lists:
+        one = _ranked(spark, d, name).select(F.lit(name).alias("mode"), "query_id", F.col("id").alias("doc_id"), "rank")
+        ranked = one if ranked is None else ranked.unionByName(one)
+    truth = _ranked(spark, d, "opens").where("rank <= 5").select("query_id", F.col("id").alias("doc_id"))
+    means = evaluation.summary(ranked, truth)
+    return means.select("mode", *[F.round(c, 6).alias(c) for c in means.columns if c != "mode"])
+
+
+def snippet(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+def sentence_split(spark, d):
+    parts = text.sentences(F.col("text"))
+    rows = table(spark, d, "documents", "doc_id", "text").where("text is not null").withColumn("s", parts)
+    return rows.select("doc_id", F.size("s").alias("n"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).alias("longest"))
+
+
+def clean_inline(spark, d):
+    crumbs = table(spark, d, "chunks", "id", "breadcrumbs").select("id", F.posexplode("breadcrumbs").alias("place", "crumb"))
+    return crumbs.select("id", "place", text.clean_inline(F.col("crumb")).alias("title"))
+
+
+def epoch_millis(spark, d):
+    return table(spark, d, "doc_meta", "id", "modified_time").select("id", text.epoch_millis(F.col("modified_time")).alias("millis"))
+
+
+def _eval_docs(spark, d):
+    return table(spark, d, "eval_docs", "doc_id", "name", "text", "modified_time").select("doc_id", F.col("name").alias("doc_name"), "text", "modified_time").distinct()
+
+
+def chunk_documents(spark, d):
+    return chunked(_eval_docs(spark, d))
+
+
+def hybrid_search(spark, d):
+    index = build_index(_eval_docs(spark, d))
+    return HybridSearcher(index).search(spark.createDataFrame(QUERIES, "query_id int, text string"), 10)
+
+
+def plan_batches(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("idx"), "text")
+    return batching.plan_batches(docs)
+
+
+def embed_documents(spark, d):
+    rows = Embedder().embed(table(spark, d, "documents", "doc_id", "text"))
+    return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(numbers.norm(F.col("embedding")), 3).alias("norm"))
+
+
+def _keyed(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "folder_id", "text").where("text is not null")
+    return docs.select(F.concat(F.coalesce("folder_id", F.lit("none")), F.lit(":"), "doc_id").alias("chunk_id"), F.coalesce("folder_id", F.lit("none")).alias("doc_id"), F.col("doc_id").alias("n"), "text")
+
+
+def chunk_diff(spark, d):
+    old = _keyed(spark, d).withColumn("embedding", F.array(F.col("n").cast("float")))
+    new = _keyed(spark, d).withColumn("text", F.when(F.col("n") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    planned = indexing.diff_chunks(new, old)
+    return planned.groupBy("doc_id").agg(F.count("embedding").alias("reused"), F.sum(F.col("embedding").isNull().cast("int")).alias("to_embed"))
+
+
+def index_add_idempotent(spark, d):
+    rows = _keyed(spark, d)
+    once = indexing.add_chunks(rows.where("n % 3 <> 0"), rows)
+    return indexing.index_stats(indexing.add_chunks(once, rows))
+
+
+def index_remove_docs(spark, d):
+    rows = table(spark, d, "chunks", "id", "doc_id")
+    gone = table(spark, d, "drive_changes", "file_id", "removed").where("removed").select(F.col("file_id").alias("doc_id"))
+    return indexing.index_stats(indexing.remove_documents(rows, gone))
+
+
+def index_stats(spark, d):
+    return indexing.index_stats(table(spark, d, "chunks", "id", "doc_id"))
+
+
+def change_feed_collapse(spark, d):
+    kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") != "view", "upsert")
+    feed = table(spark, d, "events", "event_id", "user_id", "event_type").withColumn("intent", kind)
+    return changefeed.collapse_changes(feed, "user_id", "event_id", "intent")
+
+
+def apply_intents(spark, d):
+    last = change_feed_collapse(spark, d).select(F.col("user_id").alias("doc_id"), "intent")
+    return indexing.apply_intents(table(spark, d, "documents", "doc_id", "lang"), last)
+
+
+def feed_intents(spark, d):
+    return intents(table(spark, d, "drive_changes", "seq", "file_id", "removed", "file"))
+
+
+def feed_stream(spark, d):
+    """The change feed as a stream, applied batch by batch to a published table."""
+    root = f"{run_dir(spark)}/feed-{uuid.uuid4().hex[:10]}"
+    target = VersionedTable(spark, f"{root}/table")
+    schema = table(spark, d, "drive_changes").schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    fs, path = hadoop(spark, f"{d}/drive_changes.parquet")
+    # a stream reads folders; a table of one file is found by its name
+    stream = reader.parquet(f"{d}/drive_changes.parquet") if fs.getFileStatus(path).isDirectory() else reader.option("pathGlobFilter", "drive_changes.parquet").parquet(d)
+    run = stream.writeStream.option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True)
+    run.foreachBatch(lambda df, _: changefeed.apply_changes(df, target) and None).start().awaitTermination()
+    return changefeed.existing_files(target).select("file_id", "seq")
+
+
+def merge_lww(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "lang", "modified_time")
+    a = docs.where("doc_id % 3 <> 0").withColumn("origin", F.lit("a"))
+    later = F.col("modified_time") + F.when(F.col("doc_id") % 2 == 0, F.expr("interval 1 day")).otherwise(F.expr("interval -1 day"))
+    b = docs.where("doc_id % 3 <> 1").withColumn("modified_time", later).withColumn("origin", F.lit("b"))
+    return merging.merge(a, b, F.col("modified_time")).select("doc_id", "origin")
+
+
+def debounce_latest(spark, d):
+    events = table(spark, d, "events", "user_id", "ts", "event_id").where("ts is not null")
+    return debounce(events, "user_id", "ts", "event_id", "6 hours").select("user_id", "last_value", "n")
+
+
+def list_documents(spark, d):
+    return catalog.list_documents(table(spark, d, "drive_changes", "file").select("file.*").distinct())
+
+
+def export_split(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    exported = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("markdown"), F.when(F.col("text").isNull(), "no body").alias("error"))
+    return exporting.export_report(exported)
+
+
+def retriable_errors(spark, d):
+    rows = [(429, ""), (500, None), (503, "x"), (403, "User RateLimitExceeded"), (403, "quotaExceeded"), (403, "forbidden"), (404, "quotaExceeded"), (200, None)]
+    return spark.createDataFrame(rows, "status int, body string").select("status", "body", exporting.is_retriable(F.col("status"), F.col("body")).alias("retriable"))
+
+
+def suggestions(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "name", "folder_id", "text").where("name is not null and text is not null")
+    line = presentation.suggestion(F.col("name"), F.array_compact(F.array("folder_id")), text.snippet(F.col("text")))
+    return docs.select("doc_id", presentation.document_url(F.col("doc_id").cast("string")).alias("url"), line.alias("line"))
+
+
+def bench_corpus(spark, d):
+    return generators.bench_corpus(spark, 500)
+
+
+def text_checksums(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", hashing.fnv1a_column(F.encode("text", "UTF-8")).alias("fnv1a"))
+
+
+def snapshot_roundtrip(spark, d):
+    """Chunks with vectors, published and loaded again."""
+    kept = table(spark, d, "snapshot_vectors", "chunk_id", "revision", "embedding").where("revision = 'r7' and size(embedding) = 384").groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
+    index = _latest_chunks(spark, d).join(kept, "chunk_id")
+    store = SnapshotStore(spark, f"{run_dir(spark)}/snapshot-{uuid.uuid4().hex[:10]}", HASHED)
+    store.save(index)
+    return indexing.index_stats(store.load().index)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,19 +316,125 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ).select("record_kind", "file_id")
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    feed = table(spark, d, "drive_changes", "seq", "file_id", "removed", "file", "received_at")
-    return changefeed.existing_files(changefeed.apply_changes(feed)).select("file_id", "seq")
-
-
 def p7_files(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "drive_changes", "seq", "file_id", "removed", "file", "received_at")
     return changefeed.existing_files(changefeed.apply_changes(feed))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_files(spark, d).select("file_id", "seq")
+
+
+# --- SQL -------------------------------------------------------------------------------------------
+_SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _TIME = """case when regexp_full_match({0}, '\\d{{4}}-\\d\\d-\\d\\d[Tt ]\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?([Zz]|[+-]\\d\\d:\\d\\d)')
     then try_cast({0} as timestamptz) end"""
+_MILLIS = "coalesce(epoch_ms(" + _TIME.format("modified_time") + "), 0)"
+
+_V = "v as (select vec_id, label, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings)"
+_UNIT = "list_transform({0}.e, lambda x: x / case when {0}.n = 0 then 1 else {0}.n end)"
+
+
+def _topk_sql(stated: str, kept: str, k: int = 10) -> str:
+    return f"""with {_V}, hits as (
+    select q.vec_id as query_id, x.vec_id, list_inner_product({_UNIT.format("q")}, x.e) as s from v q, v x where {stated} and {kept})
+select query_id, vec_id, round(s, 6) as score, cast(row_number() over (partition by query_id order by s desc, vec_id) as integer) as rank
+from hits qualify row_number() over (partition by query_id order by s desc, vec_id) <= {k}"""
+
+
+_CODED = f"""{_V}, scaled as (select *, case when list_max(list_transform(e, lambda x: abs(x))) > 0 then list_max(list_transform(e, lambda x: abs(x))) else 1 end as scale from v),
+coded as (select *, list_transform(e, lambda x: least(greatest(floor(x / scale * 127 + 0.5), -127), 127)) as codes from scaled),
+raw as (select *, list_transform(codes, lambda c: c / 127 * scale) as r from coded),
+back as (select *, list_transform(r, lambda x: x / case when list_sum(list_transform(r, lambda y: y * y)) = 0 then 1 else sqrt(list_sum(list_transform(r, lambda y: y * y))) end) as b from raw)"""
+
+_RECALL_SQL = f"""with {_CODED},
+one as (select q.vec_id as asked, x.vec_id as id, row_number() over (partition by q.vec_id order by list_inner_product({_UNIT.format("q")}, x.e) desc, x.vec_id) as r from v q, v x where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by list_inner_product({_UNIT.format("q")}, x.e) desc, x.vec_id) <= 5),
+two as (select q.vec_id as asked, x.vec_id as id, row_number() over (partition by q.vec_id order by list_inner_product({_UNIT.format("q")}, x.b) desc, x.vec_id) as r from v q, back x where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by list_inner_product({_UNIT.format("q")}, x.b) desc, x.vec_id) <= 5)
+select round(avg(hit), 6) as recall from (select one.asked, count(two.id) / count(*) as hit from one left join two on one.asked = two.asked and one.id = two.id group by one.asked)"""
+
+_WORDS = r"""docs as (select cast(doc_id as varchar) as chunk_id, text as t_text, name as t_title from documents),
+fields as (select chunk_id, 'text' as field, t_text as body from docs union all select chunk_id, 'title', t_title from docs),
+toks as (select chunk_id, field, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0) as words from fields),
+posted as (select term, field, chunk_id, count(*) as tf, any_value(len) as len from
+    (select chunk_id, field, len(words) as len, unnest(words) as term from toks) group by term, field, chunk_id),
+stats as (select field, count(*) as n, sum(coalesce(len(words), 0)) / count(*) as avglen from toks group by field)"""
+
+_BM25_SQL = f"""with {_WORDS},
+asked as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)) as term from (values {_QUERY_VALUES}) q(query_id, t)),
+dfs as (select term, field, count(*) as df from posted group by term, field),
+scored as (select query_id, chunk_id as doc_id, sum(case field when 'title' then 3.0 else 1.0 end * ln(1 + (n - df + 0.5) / (df + 0.5))
+    * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avglen)))) as s
+    from asked join posted using (term) join dfs using (term, field) join stats using (field) group by query_id, chunk_id)
+select query_id, doc_id, round(s, 6) as score, cast(row_number() over (partition by query_id order by round(s, 9) desc, doc_id) as integer) as rank from scored
+qualify row_number() over (partition by query_id order by round(s, 9) desc, doc_id) <= 20"""
+
+_EXPAND_SQL = f"""with {_WORDS}, words as (select distinct term, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') as ascii from posted),
+pairs as (select q, term, length(term) as n, length(q) as m, levenshtein(ascii, q) as dist from words, (values {_TERM_VALUES}) t(q)),
+reached as (
+    select q, term, 1.0::double as w from pairs where q = term
+    union all select q, term, 0.375::double * n / (n + 0.3::double * (n - m)) from pairs where n > m and starts_with(term, q)
+    union all select q, term, 0.45::double * n / (n + dist) from pairs where dist > 0 and dist <= floor(m * 0.2 + 0.5))
+select q, term, round(max(w), 6) as weight from reached group by q, term"""
+
+_RANKED = """ranked as (select list_id, query_id, id, row_number() over (partition by list_id, query_id order by score desc, id) as rank
+    from (select list_id, query_id, id, max(score) as score from search_hits where id is not null and not isnan(score) group by list_id, query_id, id))"""
+_LATEST = f"""latest as (select id as chunk_id, doc_id, doc_name, breadcrumbs, text, {_MILLIS} as millis from chunks where id is not null
+    qualify row_number() over (partition by id order by {_MILLIS} desc, coalesce(text, '') desc, doc_id desc, doc_name desc nulls last, breadcrumbs desc nulls last) = 1)"""
+_FUSED = f"""{_RANKED}, {_LATEST},
+sums as (select query_id, id, sum(1.0::double / (60 + rank)) as s, min(case when list_id = 'vector' then rank end) as r0, min(case when list_id = 'lexical' then rank end) as r1
+    from ranked where list_id in ('vector', 'lexical') group by query_id, id),
+fused as (select query_id, sums.id, s, cast(row_number() over (partition by query_id order by round(s, 9) desc, coalesce(millis, 0) desc, r0 nulls last, r1 nulls last, sums.id) as integer) as fused_rank
+    from sums left join latest on sums.id = latest.chunk_id)"""
 
+
+def _snippet_sql(column: str) -> str:
+    line = f"trim(regexp_replace({column}, '{_SPACE[:-1]}\\x{{FEFF}}]+', ' ', 'g'))"
+    return f"(case when length({line}) > 180 then rtrim(substr({line}, 1, 180)) || '…' else {line} end)"
+
+
+_COLLAPSE_SQL = f"""with {_FUSED},
+firsts as (select * from fused join latest on fused.id = latest.chunk_id qualify row_number() over (partition by query_id, doc_id order by fused_rank, chunk_id) = 1),
+placed as (select *, cast(row_number() over (partition by query_id order by fused_rank, chunk_id) as integer) as place from firsts)
+select query_id, place, doc_id, doc_name, array_to_string(breadcrumbs, ' › ') as breadcrumbs, {_snippet_sql("text")} as snippet, round(s, 9) as score, chunk_id from placed where place <= 10"""
+_EVAL_SQL = f"""with {_RANKED},
+truth as (select distinct query_id, id from ranked where list_id = 'opens' and rank <= 5),
+sizes as (select query_id, count(*) as n from truth group by query_id),
+modes as (select distinct list_id as mode, query_id from ranked where list_id <> 'opens'),
+hits as (select list_id as mode, r.query_id, count(distinct case when rank <= 1 then id end) as h1, count(distinct case when rank <= 5 then id end) as h5, min(rank) as first
+    from ranked r join truth using (query_id, id) group by all)
+select mode, round(avg(coalesce(h1 / n, 0)), 6) as recall_at_1, round(avg(coalesce(h5 / n, 0)), 6) as recall_at_5, round(avg(coalesce(1.0 / first, 0)), 6) as mrr
+from modes left join sizes using (query_id) left join hits using (mode, query_id) group by mode"""
+
+_BATCH_SQL = """with recursive sorted as (select doc_id as idx, coalesce(length(text), 0) as n, row_number() over (order by coalesce(length(text), 0), doc_id) as i from documents),
+walk as (
+    select i, idx, n, 0 as batch_id, 0 as pos, n as chars from sorted where i = 1
+    union all
+    select s.i, s.idx, s.n, case when w.pos + 1 >= 32 or w.chars + s.n > 16000 then w.batch_id + 1 else w.batch_id end,
+        case when w.pos + 1 >= 32 or w.chars + s.n > 16000 then 0 else w.pos + 1 end,
+        case when w.pos + 1 >= 32 or w.chars + s.n > 16000 then s.n else w.chars + s.n end
+    from walk w join sorted s on s.i = w.i + 1)
+select idx, batch_id, pos from walk"""
+
+_KEYED = "keyed as (select coalesce(folder_id, 'none') as d, doc_id as n, text from documents where text is not null)"
+_DIFF_SQL = f"""with {_KEYED}, old as (select distinct d, text from keyed), new as (select d, case when n % 5 = 0 then text || ' edited' else text end as text from keyed)
+select new.d as doc_id, count(old.text) as reused, count(*) - count(old.text) as to_embed from new left join old on new.d = old.d and new.text = old.text group by new.d"""
+
+_EFFECTS = """effects as (
+    select *, coalesce(removed, false) or coalesce(file.trashed, false)
+        or (file is not null and coalesce(file.mime_type, '') <> 'application/vnd.google-apps.document') as gone
+    from drive_changes where file_id is not null and seq is not null)"""
+_P7_CTE = f"""with {_EFFECTS}, latest as (
+    select * from effects where gone or file is not null
+    qualify row_number() over (partition by file_id order by seq desc, received_at desc) = 1)
+"""
+_INTENT_SQL = """select user_id, case arg_max(event_type, event_id) when 'error' then 'remove' else 'upsert' end as intent, max(event_id) as last_order
+from events where event_type is not null and event_type <> 'view' and user_id is not null group by user_id"""
+_MERGE_SQL = """with a as (select doc_id, 'a' as origin, modified_time as t from documents where doc_id % 3 <> 0),
+b as (select doc_id, 'b' as origin, modified_time + case when doc_id % 2 = 0 then interval 1 day else -interval 1 day end as t from documents where doc_id % 3 <> 1)
+select doc_id, origin from (select * from a union all select * from b) qualify row_number() over (partition by doc_id order by t desc nulls last, origin) = 1"""
+_BURST_SQL = """with marked as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as fresh from events where ts is not null),
+bursts as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as burst from marked)
+select user_id, arg_max(event_id, ts) as last_value, count(*) as n from bursts group by user_id, burst"""
 _P5_SQL = f"""
 with finals as (select run_id, arg_max(status, status_at) as status from sync_runs group by run_id),
 counting as (select l.* from sync_log l join finals f using (run_id) where f.status = 'succeeded' and l.outcome = 'done'),
@@ -41,27 +445,59 @@ select 'listing' as record_kind, s.file_id from listed s left join taken t using
 union all
 select 'feed', s.file_id from fed s left join taken t using (file_id) where t.seq is null or s.seq > t.seq
 """
-
-_P7_CTE = """
-with effects as (
-    select *, coalesce(removed, false) or coalesce(file.trashed, false)
-        or (file is not null and coalesce(file.mime_type, '') <> 'application/vnd.google-apps.document') as gone
-    from drive_changes where file_id is not null and seq is not null),
-latest as (
-    select * from effects where gone or file is not null
-    qualify row_number() over (partition by file_id order by seq desc, received_at desc) = 1)
-"""
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
 def queries() -> dict:
-    names = (p5_found, p7_found, p7_files)
+    names = (
+        vector_topk, vector_topk_batch, vector_remove_then_search, vector_get, vector_normalize, vector_dims, int8_roundtrip, int8_recall_at_5, lexical_postings, lexical_statistics, lexical_bm25,
+        lexical_expansions, lexical_search, rrf_fusion, hybrid_collapse, hybrid_search, eval_metrics, snippet, sentence_split, clean_inline, epoch_millis, chunk_documents, plan_batches, embed_documents,
+        chunk_diff, index_add_idempotent, index_remove_docs, index_stats, change_feed_collapse, apply_intents, feed_intents, feed_stream, merge_lww, debounce_latest, list_documents, export_split,
+        retriable_errors, suggestions, bench_corpus, text_checksums, snapshot_roundtrip, p5_found, p7_found, p7_files,
+    )
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
+    escaped, name, detail = _ESCAPED.format, _ESCAPED.format("name"), _ESCAPED.format(f"substr({_snippet_sql('text')}, 1, 100)")
     return {
+        "vector_topk": _topk_sql("q.vec_id = 0", "true"),
+        "vector_topk_batch": _topk_sql("q.vec_id % 20 = 0", "true"),
+        "vector_remove_then_search": _topk_sql("q.vec_id = 0", "x.label <> 3"),
+        "vector_get": "select vec_id, label from embeddings where label = 1",
+        "vector_normalize": f"with {_V} select vec_id, round(n, 6) as norm, round(list_sum({_UNIT.format('v')}), 6) as total, round(sqrt(list_sum(list_transform({_UNIT.format('v')}, lambda x: x * x))), 6) as new_norm from v",
+        "vector_dims": "select len(embedding) as dims, count(*) as n from embeddings group by 1",
+        "int8_roundtrip": f"with {_CODED} select vec_id, round(scale, 6) as scale, cast(list_sum(codes) as integer) as code_sum, round(list_max(list_transform(list_zip(b, {_UNIT.format('back')}), lambda p: abs(p[1] - p[2]))), 5) as error from back",
+        "int8_recall_at_5": _RECALL_SQL,
+        "lexical_postings": f"with {_WORDS} select term, field, count(*) as df, cast(sum(tf) as bigint) as tf from posted group by term, field",
+        "lexical_statistics": f"with {_WORDS} select field, n, round(avglen, 6) as avglen from stats",
+        "lexical_bm25": _BM25_SQL,
+        "lexical_expansions": _EXPAND_SQL,
+        "rrf_fusion": f"with {_FUSED} select query_id, id, round(s, 9) as score, fused_rank from fused",
+        "hybrid_collapse": _COLLAPSE_SQL,
+        "eval_metrics": _EVAL_SQL,
+        "snippet": f"select doc_id, {_snippet_sql('text')} as snippet from documents",
+        "sentence_split": "with s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\\s\\x0B]+', '\\1\ue000', 'g'), '\ue000'), lambda x: length(x) > 0) as s from documents where text is not null) select doc_id, len(s) as n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest from s",
+        "clean_inline": f"with c as (select id, unnest(breadcrumbs) as crumb, generate_subscripts(breadcrumbs, 1) - 1 as i from chunks) select id, cast(i as integer) as place, regexp_replace(regexp_replace(regexp_replace(regexp_replace(crumb, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]', '', 'g'), '{_SPACE}+#+{_SPACE}*$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as title from c",
+        "epoch_millis": f"select id, {_MILLIS} as millis from doc_meta",
+        "plan_batches": _BATCH_SQL,
+        "chunk_diff": _DIFF_SQL,
+        "index_add_idempotent": f"with {_KEYED} select count(*) as index_size, count(distinct d) as doc_count from keyed",
+        "index_remove_docs": "select count(*) as index_size, count(distinct doc_id) as doc_count from chunks where doc_id is null or doc_id not in (select file_id from drive_changes where removed and file_id is not null)",
+        "index_stats": "select count(*) as index_size, count(distinct doc_id) as doc_count from chunks",
+        "change_feed_collapse": _INTENT_SQL,
+        "apply_intents": f"select doc_id, lang from documents where doc_id not in (select user_id from ({_INTENT_SQL}) where intent = 'remove')",
+        "feed_intents": _P7_CTE + "select file_id as doc_id, case when gone then 'remove' else 'upsert' end as intent from latest",
+        "feed_stream": _P7_CTE + "select file_id, seq from latest where not gone",
+        "merge_lww": _MERGE_SQL,
+        "debounce_latest": _BURST_SQL,
+        "list_documents": "select distinct file.id as id, file.name as name, file.modified_time as modified_time, from drive_changes where file.mime_type = 'application/vnd.google-apps.document' and not coalesce(file.trashed, false)",
+        "export_split": "select count(text) as exported, count(*) - count(text) as failed, cast(coalesce(sum(length(text)), 0) as bigint) as total_chars from documents",
+        "retriable_errors": "select status, body, status = 429 or status >= 500 or (status = 403 and (contains(lower(coalesce(body, '')), 'ratelimitexceeded') or contains(lower(coalesce(body, '')), 'quotaexceeded'))) as retriable from (values (429, ''), (500, null), (503, 'x'), (403, 'User RateLimitExceeded'), (403, 'quotaExceeded'), (403, 'forbidden'), (404, 'quotaExceeded'), (200, null)) t(status, body)",
+        "suggestions": f"select doc_id, 'https://docs.google.com/document/d/' || doc_id || '/edit' as url, '<match>' || {name} || '</match>' || case when folder_id is null or folder_id = '' then '' else ' <dim>' || {escaped('folder_id')} || '</dim>' end || ' — ' || {detail} as line from documents where name is not null and text is not null",
+        "bench_corpus": "select i as idx, array_to_string(list_transform(range(0, 8 + (i * 37) % 190), lambda w: 'token' || ((i + w) % 100)), ' ') as text from range(500) t(i)",
+        "snapshot_roundtrip": "select count(*) as index_size, count(distinct doc_id) as doc_count from (select id, any_value(doc_id) as doc_id from chunks where id is not null group by id) where id in (select chunk_id from snapshot_vectors where revision = 'r7' and len(embedding) = 384)",
         "p5_found": _P5_SQL,
         "p7_found": _P7_CTE + "select file_id, seq from latest where not gone",
-        "p7_files": _P7_CTE
-        + "select file_id, seq, file.id as id, file.name as name, file.mime_type as mime_type, file.modified_time as modified_time, file.trashed as trashed from latest where not gone",
-    }
+        "p7_files": _P7_CTE + "select file_id, seq, file.id as id, file.name as name, file.mime_type as mime_type, file.modified_time as modified_time, file.trashed as trashed from latest where not gone",
+    }
