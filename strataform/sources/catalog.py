@@ -19,7 +19,7 @@ def list_documents(files: DataFrame, mime: str = DOCUMENT_MIME) -> DataFrame:
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, text`` of whole text files; the id is the file's name without its ending."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("text"))
 
