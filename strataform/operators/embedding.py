@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.operators.batching import BatchOptions, plan_list
+from strataform.workspace import spread
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ class Embedder:
                     held[i] = v
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.list_(pa.float32()))], names=columns)
 
-        return rows.mapInArrow(run, schema)
+        return spread(rows, heavy=True).mapInArrow(run, schema)
 
 
 def response_error(response: Column, space: EmbeddingSpace, texts: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from strataform.functions.text import tokens
 from strataform.operators.vectors import top
+from strataform.workspace import spread
 
 SEPARATOR = " › "
 BOOSTS = {"title": 3.0, "breadcrumbs": 2.0, "text": 1.0}
@@ -48,7 +49,7 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "bread
     that scoring needs no further join.
     """
     # stack, not a union: the documents are read once
-    stacked = docs.select("chunk_id", F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', `{f}`" for f in fields) + ") as (field, body)"))
+    stacked = spread(docs).select("chunk_id", F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', `{f}`" for f in fields) + ") as (field, body)"))
     words = stacked.where("body is not null").withColumn("words", tokens(F.col("body")))
     return words.select("chunk_id", "field", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("term", "field", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 

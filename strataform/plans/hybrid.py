@@ -11,6 +11,7 @@ from strataform.functions.text import is_blank
 from strataform.operators import fusion, lexical, vectors
 from strataform.operators.chunking import ChunkOptions, chunk_documents
 from strataform.operators.embedding import Embedder
+from strataform.workspace import staged
 
 
 @dataclass
@@ -23,14 +24,14 @@ class HybridIndex:
 
 
 def build_index(docs: DataFrame, embedder: Embedder = Embedder(), options: ChunkOptions = ChunkOptions()) -> HybridIndex:
-    """An index of ``doc_id, doc_name, text, modified_time``."""
-    return index_of(embedder.embed(chunk_documents(docs, options)))
+    """An index of ``doc_id, doc_name, text, modified_time``, written once: nothing is chunked or embedded again per search."""
+    return index_of(staged(embedder.embed(chunk_documents(docs, options)), "chunks"))
 
 
 def index_of(chunks: DataFrame) -> HybridIndex:
     """Postings made again from chunks that have their vectors."""
     docs = lexical.lexical_documents(chunks)
-    return HybridIndex(chunks, lexical.postings(docs), lexical.statistics(docs))
+    return HybridIndex(chunks, staged(lexical.postings(docs), "postings"), staged(lexical.statistics(docs), "statistics"))
 
 
 class HybridSearcher:

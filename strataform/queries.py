@@ -19,7 +19,7 @@ from strataform.sources.tables import table
 from strataform.sources.versions import VersionedTable
 from strataform.streaming.debounce import debounce
 from strataform.streaming.sync import intents
-from strataform.workspace import hadoop, run_dir
+from strataform.workspace import hadoop, run_dir, staged
 
 #: Stated queries of the lexical searches.
 QUERIES = [(1, "budget sheet"), (2, "warehouse shift rebuild"), (3, "rapport incident"), (4, "Störungsbericht Zahlen"), (5, "meeting notes room")]
@@ -95,6 +95,12 @@ def _lexical_docs(spark, d):
 _FIELDS = ("text", "title")
 
 
+def _lexical_index(spark, d):
+    """Postings and statistics, written once and read by each part of a search."""
+    docs = _lexical_docs(spark, d)
+    return staged(lexical.postings(docs, _FIELDS), "postings"), staged(lexical.statistics(docs, _FIELDS), "statistics")
+
+
 def lexical_postings(spark, d):
     posted = lexical.postings(_lexical_docs(spark, d), _FIELDS)
     return posted.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -105,20 +111,18 @@ def lexical_statistics(spark, d):
 
 
 def lexical_bm25(spark, d):
-    docs = _lexical_docs(spark, d)
-    hits = lexical.search(spark.createDataFrame(QUERIES, "query_id int, text string"), lexical.postings(docs, _FIELDS), lexical.statistics(docs, _FIELDS), 20, expand=False)
+    hits = lexical.search(spark.createDataFrame(QUERIES, "query_id int, text string"), *_lexical_index(spark, d), 20, expand=False)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def lexical_expansions(spark, d):
-    words = lexical.postings(_lexical_docs(spark, d), _FIELDS).select("term").distinct()
+    words = _lexical_index(spark, d)[0].select("term").distinct()
     return lexical.expansions(spark.createDataFrame([(1, t) for t in TERMS], "query_id int, q string"), words).select("q", "term", F.round("weight", 6).alias("weight"))
 
 
 def lexical_search(spark, d):
-    docs = _lexical_docs(spark, d)
     typed = spark.createDataFrame([(1, "budgt shet"), (2, "invoic templ"), (3, "  "), (4, "retentoin schedule")], "query_id int, text string")
-    return lexical.search(typed, lexical.postings(docs, _FIELDS), lexical.statistics(docs, _FIELDS), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return lexical.search(typed, *_lexical_index(spark, d), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def _ranked(spark, d, name):

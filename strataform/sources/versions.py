@@ -10,7 +10,9 @@ folder; a reader sees the old version or the new one, never a mixture.
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -61,15 +63,45 @@ class VersionedTable:
         version = (self.current() if expected is None else expected) + 1
         fs, p = hadoop(self.spark, f"{self.path}/manifests/v{version:08d}.json")
         body = json.dumps({"version": version, "parts": parts} | info).encode()
+        if not self._create(fs, p, body):
+            raise VersionTaken(f"version {version} of {self.path} exists")
+        return version
+
+    def _create(self, fs, p, body: bytes) -> bool:
+        """Make a whole file appear at once; false if it exists.
+
+        A finished temporary file gets its name by an operation that fails on
+        an existing one: a hard link on a mounted folder, a rename elsewhere.
+        Object stores have no such rename; there the store's own exclusive
+        create decides.
+        """
+        fs.mkdirs(p.getParent())
+        scheme = fs.getUri().getScheme()
+        if scheme == "file":
+            final = p.toUri().getPath()
+            draft = f"{final}.{uuid.uuid4().hex}.tmp"
+            Path(draft).write_bytes(body)
+            try:
+                os.link(draft, final)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(draft)
+        stores = scheme in ("s3", "s3a", "gs", "abfs", "abfss", "wasb", "wasbs")
+        draft = p if stores else p.suffix(f".{uuid.uuid4().hex}.tmp")
         try:
-            out = fs.create(p, False)
-        except Exception as e:
-            if fs.exists(p):
-                raise VersionTaken(f"version {version} of {self.path} exists") from e
+            out = fs.create(draft, False)
+        except Exception:
+            if stores and fs.exists(p):
+                return False
             raise
         out.write(body)
         out.close()
-        return version
+        if stores or fs.rename(draft, p):
+            return True
+        fs.delete(draft, False)
+        return False
 
     def read(self, part: str = "data", version: int | None = None, schema: StructType | None = None) -> DataFrame | None:
         """One version of a part; None before the first version."""

@@ -85,3 +85,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """How many tasks a shuffle of this session uses."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, heavy: bool = False) -> DataFrame:
+    """The rows over at least as many tasks as there are cores.
+
+    For work that costs more than moving its rows, over inputs that are split
+    into too few parts (small files, single row groups).  Inputs with enough
+    parts, as all large ones have, stay as they are.  So do rows that come out
+    of a shuffle, whose parts aren't known before it runs, unless the work is
+    ``heavy`` (a model per row).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df.repartition(max(cores, partitions(df.sparkSession))) if heavy else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
