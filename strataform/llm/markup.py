@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataform.workspace import spread
+
 LANGUAGES = ("html", "latex", "markdown", "wiki")
 
 #: Element names of HTML.
@@ -632,7 +634,8 @@ def clean_documents(docs: DataFrame, record_id: Column, text: Column) -> DataFra
     texts of an id once each.  Empty and blank texts give an empty clean text
     and no markup; null ids are kept.
     """
-    return docs.select(record_id.cast("string").alias("id"), text.alias("text")).where("text is not null").mapInArrow(_clean_docs, CLEANED)
+    rows = docs.select(record_id.cast("string").alias("id"), text.alias("text")).where("text is not null")
+    return spread(rows).mapInArrow(_clean_docs, CLEANED)
 
 
 def clean_breadcrumbs(chunks: DataFrame, record_id: Column, breadcrumbs: Column) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.workspace import staged
+from strataform.workspace import spread, staged
 
 #: Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -185,7 +185,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def measured(documents: DataFrame) -> DataFrame:
     """``doc_id, language, blocks`` of every text that isn't null; row by row."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return texts.mapInArrow(_measure_batches, MEASURED)
+    return spread(texts).mapInArrow(_measure_batches, MEASURED)
 
 
 def calibrated(pages: DataFrame) -> DataFrame:

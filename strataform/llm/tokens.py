@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.workspace import staged
+from strataform.workspace import spread, staged
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k"
@@ -113,7 +113,7 @@ def _blocked(documents: DataFrame, block_chars: int) -> DataFrame:
 
 
 def _encode(documents: DataFrame, name: str, folder: str, block_chars: int, fn, schema: T.StructType, fields: dict) -> DataFrame:
-    docs = staged(_blocked(documents.select("doc_id", "text"), block_chars), "token-words")
+    docs = staged(_blocked(spread(documents.select("doc_id", "text")), block_chars), "token-words")
     local = docs.select("block", F.explode("words").alias("word")).distinct()
     local = staged(local, "token-block-words")
     table = local.select("word").distinct().mapInArrow(word_ids(name, folder), WORD_IDS)
