@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 SAMPLE, MAX_LISTS = 16_384, 4096
 SLICE, CODES = 8, 256
 PROBES, RERANK, K = 8, 100, 10
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 16_384
 #: Up to so many query ids (about 50 bytes each) a broadcast picks the queries from the vectors; beyond, a shuffle does.
 BROADCAST_IDS = 200_000
 
@@ -207,6 +207,9 @@ def _search_cell(shared, k: int, rerank: int):
         all_codes = vectors["codes"].to_pylist()
         codes = np.frombuffer(b"".join(all_codes[i] for i in keep), np.uint8).reshape(len(keep), -1)
         lists = vectors["list"].to_numpy()[keep]
+        # so does a repeated query
+        once = pa.array(np.flatnonzero(~pd.Series(queries["query_id"].to_numpy()).duplicated().to_numpy()))
+        queries = queries.take(once)
         q_names = queries["query_id"].to_numpy()
         q = np.frombuffer(b"".join(queries["vector"].to_pylist()), np.float32).reshape(-1, index.dims)
         visited = queries["lists"].combine_chunks()
@@ -281,7 +284,7 @@ def nearest(vectors: DataFrame, dims: int, ids: DataFrame | None = None, k: int
         asked = good.join(F.broadcast(wanted) if queries <= BROADCAST_IDS else wanted, "chunk_id", "left_semi")
     shared = spark.sparkContext.broadcast(vars(fit(x, rows, queries, probes)))  # plain arrays: executors need no class of ours
     indexed = good.mapInArrow(_index_batches(shared), VECTORS)
-    routed = asked.mapInArrow(_query_batches(shared, probes), QUERIES).dropDuplicates(["cell", "query_id"])
+    routed = asked.mapInArrow(_query_batches(shared, probes), QUERIES)
     near = indexed.groupBy("cell").cogroup(routed.groupBy("cell")).applyInArrow(_search_cell(shared, k, rerank), NEAR)
     best = near.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
