@@ -79,7 +79,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex[:10]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete a staged table that nothing will read again, as loops do step by step."""
+    path = getattr(table, "_staged_path", None)
+    if path:
+        fs, p = hadoop(table.sparkSession, path)
+        fs.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
