@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strataform.workspace import staged
+from strataform.workspace import discard, staged
 
 DAMPING = 0.85
 STEPS = 80
@@ -121,6 +121,7 @@ def _walk_blocks(rows: DataFrame, block_rows: int, damping: float, steps: int) -
     stays = F.col("lists") - (F.col("above") + F.col("lengths") - F.col("in_length")) / F.col("items")
     items = staged(own.select("query_id", "id", "items", "lists", stays.alias("stays")), "walk-items")
     mass = items.select("query_id", "id", (1 / F.col("items")).alias("mass"))
+    before = None
     for _ in range(steps):
         places = staged(entries.join(mass, ["query_id", "id"]).groupBy(*one, "block", "reach").agg(F.sum("mass").alias("mass")), "walk-places")
         totals = places.groupBy(*one, "block").agg(F.sum("mass").alias("total"))
@@ -134,8 +135,10 @@ def _walk_blocks(rows: DataFrame, block_rows: int, damping: float, steps: int) -
         new = came.join(items, ["query_id", "id"]).join(mass, ["query_id", "id"])
         new = new.select("query_id", "id", (damping * moved_to + (1 - damping) / F.col("items")).alias("new"), "mass")
         new = staged(new, "walk-mass")
+        discard(places)
+        discard(before)
         moved = new.agg(F.sum(F.abs(F.col("new") - F.col("mass")))).first()[0]
-        mass = new.select("query_id", "id", F.col("new").alias("mass"))
+        mass, before = new.select("query_id", "id", F.col("new").alias("mass")), new
         if (moved or 0.0) < TOLERANCE:
             break
     return mass.select(F.col("query_id").cast("long").alias("query_id"), "id", "mass")
