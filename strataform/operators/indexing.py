@@ -71,6 +71,26 @@ def index_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("index_size"), F.countDistinct("doc_id").alias("doc_count"))
 
 
+def progress(docs: DataFrame, chunks: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row on an index in the making: documents in all, done and failed, chunks, status.
+
+    ``docs`` are those to be indexed, ``chunks`` and ``failures`` what there is
+    so far; what is missing from both is what a run that resumes has to do.
+    """
+    done = chunks.groupBy("doc_id").agg(F.count("*").alias("done"))
+    failed = failures.select("doc_id").distinct().withColumn("failed", F.lit(1))
+    state = docs.select("doc_id").distinct().join(done, "doc_id", "left").join(failed, "doc_id", "left")
+    row = state.agg(F.count("*").alias("total_docs"), F.count("done").alias("done_docs"), F.count(F.when(F.col("done").isNull(), F.col("failed"))).alias("failed_docs"), F.coalesce(F.sum("done"), F.lit(0)).alias("done_chunks"))
+    left = F.col("total_docs") - F.col("done_docs") - F.col("failed_docs")
+    status = F.when(F.col("total_docs") == 0, "idle").when(left > 0, "running").otherwise("done")
+    return row.withColumn("status", status)
+
+
+def unfinished(docs: DataFrame, chunks: DataFrame, failures: DataFrame) -> DataFrame:
+    """Documents that a run which resumes still has to index."""
+    return docs.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").join(failures.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def remaining_seconds(done_docs, total_docs, done_chunks, elapsed_seconds, running):
     """Estimated seconds left, or null before two seconds, a chunk and a document have passed."""
     rate = done_chunks / elapsed_seconds

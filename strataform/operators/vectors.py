@@ -68,12 +68,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_type: str = "strin
     if k <= 0:
         return spark.createDataFrame([], schema + ", rank int")
     stated = queries.where("embedding is not null").select("query_id", unit(F.col("embedding")).alias("embedding"))
-    blocks = max(1, -(-stated.count() // QUERY_BLOCK))
+    first = stated.limit(QUERY_BLOCK + 1).toArrow()  # most searches are one block, told by one job
+    blocks = 1 if first.num_rows <= QUERY_BLOCK else -(-stated.count() // QUERY_BLOCK) + 1
     parts = []
     rows = vectors.where("embedding is not null").select("id", "embedding")
     for b in range(blocks):
-        block = stated if blocks == 1 else stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = block.toArrow()
+        held = first if blocks == 1 else stated.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         if held.num_rows:
             ids = np.array(held.column(0).to_pylist(), object)
             matrix = np.array(held.column(1).to_pylist(), np.float64)

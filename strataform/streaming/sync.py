@@ -66,7 +66,8 @@ class IndexSync:
         manifest = self.table.manifest(base) if base else None
         if manifest and manifest.get("batch_id", -1) >= batch_id:
             return base
-        wanted = intents(changes)
+        since = manifest.get("since") if manifest else None
+        wanted = intents(changes if since is None else changes.where(F.col("seq") > since))
         # what failed before is tried again, unless a newer change speaks of it
         again = self.failures().select("doc_id").join(wanted, "doc_id", "left_anti").withColumn("intent", F.lit("upsert"))
         wanted = wanted.unionByName(again)
@@ -77,7 +78,18 @@ class IndexSync:
         touched = wanted.join(failed, "doc_id", "left_anti").select("doc_id")
         index = update_documents(self.index(), chunks, touched, self.embedder)
         parts = {"index": self.table.write(stored(index), "index"), "failures": self.table.write(failed, "failures")}
-        return self.table.publish(parts, base, batch_id=batch_id)
+        return self.table.publish(parts, base, batch_id=batch_id, since=since)
+
+    def baseline(self, changes: DataFrame) -> int:
+        """Begin after the newest change of a feed: nothing up to it is ever replayed.
+
+        To be called before a first full index is made, so that changes made
+        meanwhile are taken in afterwards.  Does nothing once there is a version.
+        """
+        base = self.table.current()
+        if base:
+            return base
+        return self.table.publish({}, 0, batch_id=-1, since=changes.agg(F.max("seq")).first()[0])
 
     def start(self, changes: DataFrame, checkpoint: str, once: bool = True):
         """Follow a streaming frame of changes; ``once`` stops when it has caught up."""

@@ -135,6 +135,18 @@ def test_stream_equals_batch_and_retries(spark, tmp_path):
     assert sync.apply(spark.read.schema(CHANGE).parquet(feed), 0) == done  # a replayed batch is known
 
 
+def test_baseline(spark, tmp_path):
+    feed = f"{tmp_path}/feed"
+    fetch = lambda ids: ids.select("doc_id", F.col("doc_id").alias("doc_name"), F.lit("body").alias("text"), F.lit(None).cast("string").alias("modified_time"), F.lit(None).cast("string").alias("error"))
+    sync = IndexSync(spark, f"file://{tmp_path}/index", fetch)
+    write(spark, feed, (1, "a", "write"))
+    assert sync.baseline(spark.read.schema(CHANGE).parquet(feed)) == 1 and sync.index().count() == 0
+    write(spark, feed, (2, "b", "write"))
+    sync.start(change_stream(spark, feed), f"{tmp_path}/offsets").awaitTermination()
+    assert [r.doc_id for r in sync.index().collect()] == ["b"]
+    assert sync.baseline(spark.read.schema(CHANGE).parquet(feed)) == 2
+
+
 def test_debounce(spark):
     rows = [("u", "2025-01-01 00:00:00.000", "b"), ("u", "2025-01-01 00:00:00.100", "bu"), ("u", "2025-01-01 00:00:00.200", "bud"), ("u", "2025-01-01 00:00:01", "x"), ("v", "2025-01-01 00:00:00", "y")]
     df = spark.createDataFrame(rows, "k string, t string, v string").withColumn("t", F.col("t").cast("timestamp"))

@@ -113,6 +113,14 @@ def test_merge(spark):
     assert "tie" not in ids(merging.merge(a, tie)) and ids(merging.merge(tie, a)) == ["e:0", "tie"]
 
 
+def test_progress(spark):
+    docs = spark.createDataFrame([("d",), ("e",), ("f",), ("g",), ("g",)], "doc_id string")
+    failures = spark.createDataFrame([("f", "lost"), ("d", "once")], "doc_id string, error string")
+    assert tuple(indexing.progress(docs, old(spark), failures).first()) == (4, 2, 1, 4, "running")
+    assert {r.doc_id for r in indexing.unfinished(docs, old(spark), failures).collect()} == {"g"}
+    assert indexing.progress(docs.limit(0), old(spark).limit(0), failures).first().status == "idle"
+
+
 def test_remaining_seconds(spark):
     df = spark.createDataFrame([(5, 10, 50, 10.0, True), (5, 10, 50, 1.0, True), (0, 10, 0, 10.0, True), (5, 10, 50, 10.0, False)], "dd int, td int, dc int, s double, r boolean")
     got = df.select(indexing.remaining_seconds(*[F.col(c) for c in ("dd", "td", "dc", "s", "r")])).collect()
