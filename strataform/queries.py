@@ -417,7 +417,7 @@ walk as (
         case when w.pos + 1 >= 32 or w.chars + s.n > 16000 then 0 else w.pos + 1 end,
         case when w.pos + 1 >= 32 or w.chars + s.n > 16000 then s.n else w.chars + s.n end
     from walk w join sorted s on s.i = w.i + 1)
-select idx, batch_id, pos from walk"""
+select idx, cast(batch_id as bigint) as batch_id, cast(pos as bigint) as pos from walk"""
 
 _KEYED = "keyed as (select coalesce(folder_id, 'none') as d, doc_id as n, text from documents where text is not null)"
 _DIFF_SQL = f"""with {_KEYED}, old as (select distinct d, text from keyed), new as (select d, case when n % 5 = 0 then text || ' edited' else text end as text from keyed)
@@ -470,7 +470,7 @@ def oracle_sql() -> dict[str, str]:
         "vector_remove_then_search": _topk_sql("q.vec_id = 0", "x.label <> 3"),
         "vector_get": "select vec_id, label from embeddings where label = 1",
         "vector_normalize": f"with {_V} select vec_id, round(n, 6) as norm, round(list_sum({_UNIT.format('v')}), 6) as total, round(sqrt(list_sum(list_transform({_UNIT.format('v')}, lambda x: x * x))), 6) as new_norm from v",
-        "vector_dims": "select len(embedding) as dims, count(*) as n from embeddings group by 1",
+        "vector_dims": "select cast(len(embedding) as integer) as dims, count(*) as n from embeddings group by 1",
         "int8_roundtrip": f"with {_CODED} select vec_id, round(scale, 6) as scale, cast(list_sum(codes) as integer) as code_sum, round(list_max(list_transform(list_zip(b, {_UNIT.format('back')}), lambda p: abs(p[1] - p[2]))), 5) as error from back",
         "int8_recall_at_5": _RECALL_SQL,
         "lexical_postings": f"with {_WORDS} select term, field, count(*) as df, cast(sum(tf) as bigint) as tf from posted group by term, field",
@@ -481,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_collapse": _COLLAPSE_SQL,
         "eval_metrics": _EVAL_SQL,
         "snippet": f"select doc_id, {_snippet_sql('text')} as snippet from documents",
-        "sentence_split": "with s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\\s\\x0B]+', '\\1\ue000', 'g'), '\ue000'), lambda x: length(x) > 0) as s from documents where text is not null) select doc_id, len(s) as n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest from s",
+        "sentence_split": "with s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\\s\\x0B]+', '\\1\ue000', 'g'), '\ue000'), lambda x: length(x) > 0) as s from documents where text is not null) select doc_id, cast(len(s) as integer) as n, cast(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as integer) as longest from s",
         "clean_inline": f"with c as (select id, unnest(breadcrumbs) as crumb, generate_subscripts(breadcrumbs, 1) - 1 as i from chunks) select id, cast(i as integer) as place, regexp_replace(regexp_replace(regexp_replace(regexp_replace(crumb, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]', '', 'g'), '{_SPACE}+#+{_SPACE}*$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as title from c",
         "epoch_millis": f"select id, {_MILLIS} as millis from doc_meta",
         "plan_batches": _BATCH_SQL,
