@@ -101,6 +101,29 @@ from over_limit group by record_kind, record_id
 """
 
 
+_P2_SQL = """
+with space as (select * from embedding_spaces where is_current),
+raw as (select chunk_id, embedding::double[] as e from snapshot_vectors v join space s on v.model_id = s.model_id and v.revision = s.revision
+    where len(v.embedding) = s.dims and chunk_id is not null),
+good as (select distinct chunk_id, e from raw where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+near as (select q.chunk_id as a, x.chunk_id as b from good q, good x where q.chunk_id in (select chunk_id from probe_vectors) and q.chunk_id <> x.chunk_id
+    qualify row_number() over (partition by q.chunk_id order by list_cosine_similarity(q.e, x.e) desc, x.chunk_id) <= 10)
+select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from near
+"""
+#: By another rule: the mean place over the query's lists, where a chunk missing from a list shares its bottom.  The five stand
+#: clearly apart in these data, so that both rules must name them.
+_P3_SQL = """
+with best as (select query_id, h.list_id, id, min(case when better = 'low' then score else -score end) as key from search_hits h left join score_lists l using (list_id)
+    where id is not null and score is not null and not isnan(score) group by query_id, h.list_id, id),
+placed as (select *, rank() over w + (count(*) over (partition by query_id, list_id, key) - 1) / 2.0 as place from best window w as (partition by query_id, list_id order by key)),
+items as (select query_id, count(distinct id) as n from best group by query_id),
+lists as (select query_id, list_id, count(*) as k from best group by query_id, list_id),
+grid as (select i.query_id, b.id, l.list_id, (l.k + 1 + i.n) / 2.0 as bottom from items i join (select distinct query_id, id from best) b using (query_id) join lists l using (query_id)),
+means as (select query_id, id, avg(coalesce(place, bottom)) as m from grid left join placed using (query_id, list_id, id) group by query_id, id)
+select query_id, id from means qualify row_number() over (partition by query_id order by m, id) <= 5
+"""
+
+
 def queries() -> dict:
     names = (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_order, p4_found, p4_pieces, p6_batches, p8_ids, p8_decoded, p9_mix, p9_shares, p10_found, p10_shares)
     return {f.__name__: f for f in names}
@@ -108,6 +131,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2_SQL,
+        "p3_found": _P3_SQL,
         "p4_found": _P4_SQL,
         "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }
