@@ -207,10 +207,14 @@ def _junk(b, usual_function, usual_ends, usual_pair):
     repeated = F.greatest(F.lit(1.6) * usual_pair, F.lit(0.12))
     # no sentences: function words are missing, from a long block or one without sentence ends
     wordlist = (function < 0.5) & ((b["words"] >= LONG) | ((b["words"] >= SHORT) & (ends < 0.5)))
+    # keywords that hold function words themselves ("send the draft"): no sentence ends at all, or far too many
+    endless = (ends < 0.1) & (((function < 0.75) & (b["words"] >= 40) & (b["lines"] <= 3)) | ((function < 0.62) & (b["words"] >= 90)))
+    choppy = (ends > 1.7) & (b["lines"] <= 3) & (((function < 0.65) & (b["words"] >= 60)) | ((function < 0.72) & (b["words"] >= 100)))
     # links or menu entries instead of sentences
     linked = (b["links"] >= 0.5) & (function < 0.75) & (b["chars"] >= 30)
     # one keyword strung through a text or along a line
     stuffed = (b["top_pair"] > repeated) & (b["words"] >= LONG - 1) & (ends < 0.6)
+    stuffed = stuffed | ((b["top_pair"] > repeated + 0.03) & (b["words"] >= 40))
     strung = (b["top_pair"] > repeated + 0.03) & (b["words"] >= 16) & (ends < 0.5)
     # tags, labels, words run together
     tagged = (b["glued"] >= 0.5) & (b["words"] >= SHORT)
@@ -218,7 +222,7 @@ def _junk(b, usual_function, usual_ends, usual_pair):
     doubled = (b["duplicate"] >= 0.6) & (b["lines"] >= 8) & (ends < 0.5)
     # keywords between separators
     parted = (b["separators"] >= 0.25) & (function < 0.6) & (b["words"] >= SHORT) & (ends < 0.5)
-    return ~data & (wordlist | linked | stuffed | strung | tagged | doubled | parted)
+    return ~data & (wordlist | endless | choppy | linked | stuffed | strung | tagged | doubled | parted)
 
 
 def judged(documents: DataFrame) -> DataFrame:
