@@ -21,21 +21,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.markup_found(p1_clean(spark, d))
 
 
-def _current(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Vectors of the current space; the table of spaces is fixed and has one current row."""
-    space = table(spark, d, "embedding_spaces", "model_id", "revision", "dims", "is_current").where("is_current").first()
-    same = (F.col("model_id") == space["model_id"]) & (F.col("revision") == space["revision"])
-    return table(spark, d, "snapshot_vectors", "model_id", "revision", "chunk_id", "embedding").where(same).select("chunk_id", "embedding"), space["dims"]
+def _neighbours(spark: SparkSession, d: str, ids: DataFrame | None = None, **options) -> DataFrame:
+    """Neighbours within each current space; the table of spaces is fixed and names one."""
+    spaces = table(spark, d, "embedding_spaces", "model_id", "revision", "dims", "is_current").where("is_current").distinct().collect()
+    rows = table(spark, d, "snapshot_vectors", "model_id", "revision", "chunk_id", "embedding")
+    found = spark.createDataFrame([], "query_id string, chunk_id string, similarity double, place int")
+    for n, space in enumerate(spaces):
+        same = F.col("model_id").eqNullSafe(F.lit(space["model_id"])) & F.col("revision").eqNullSafe(F.lit(space["revision"]))
+        near = ann.nearest(rows.where(same).select("chunk_id", "embedding"), space["dims"], ids, **options)
+        found = near if n == 0 else found.unionByName(near)
+    return found
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    vectors, dims = _current(spark, d)
-    return ann.nearest(vectors, dims, probes=4)
+    return _neighbours(spark, d, probes=4)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors, dims = _current(spark, d)
-    return ann.pairs(ann.nearest(vectors, dims, table(spark, d, "probe_vectors", "chunk_id")))
+    return ann.pairs(_neighbours(spark, d, table(spark, d, "probe_vectors", "chunk_id")))
 
 
 def p3_order(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,9 @@ SPAM = [
     "tag:lamp cat:sale brand:mug color:red tag:cheap cat:new brand:best color:teal " * 5,
     "GardenHoseSale NightLightCheap DeskLampOnline BuyBestPrice RunningShoesDeals " * 6,
     "[lamp][sale][mug][cheap][chair][online][best][price][deals][buy][new][outlet]" * 3,
+    "Avis lampe de bureau Velmora. Soldes tapis de yoga Praquinar. Promo moulin à café Taldal. Prix veste de pluie Osta. Meilleur coque de téléphone Quigo. " * 4,
+    "soldes moulin à café meilleur avis tapis de yoga prix lampe de bureau veste de pluie acheter promo " * 4,
+    "for the draft, the draft scope, the draft costs! " * 8,
     "人気 電話ケース, 最安値 電話ケース, 激安 電話ケース, 通販 電話ケース, 特価 電話ケース, " * 5,
 ]
 GOOD = [
