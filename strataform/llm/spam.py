@@ -189,14 +189,14 @@ def measured(documents: DataFrame) -> DataFrame:
 
 
 def calibrated(pages: DataFrame) -> DataFrame:
-    """``language, function, ends, pair``: what the blocks of a language usually show.
+    """``language, usual_function, usual_ends, usual_top_pair``: what the blocks of a language usually show.
 
-    Medians over the longer blocks of all documents, at most one row per known
-    language; one pass with partial sketches, so a frequent language is no hot
+    Medians over the longer blocks of all documents, which stay those of
+    sentences while less than half is spam; at most one row per known language; one pass with partial sketches, so a frequent language is no hot
     group.
     """
     blocks = pages.select("language", F.explode("blocks").alias("b")).where(F.col("b.words") >= 15)
-    usual = {m: F.percentile_approx(F.col(f"b.{m}"), q, 10_000) for m, q in (("function", 0.5), ("ends", 0.5), ("top_pair", 0.9))}
+    usual = {m: F.percentile_approx(F.col(f"b.{m}"), 0.5, 10_000) for m in ("function", "ends", "top_pair")}
     return blocks.groupBy("language").agg(*[v.alias(f"usual_{k}") for k, v in usual.items()])
 
 
@@ -204,7 +204,7 @@ def _junk(b, usual_function, usual_ends, usual_pair):
     """Whether a block is neither sentences nor data."""
     function, ends = b["function"] / usual_function, b["ends"] / usual_ends
     data = (b["data"] >= 0.5) & (b["links"] < 0.3)
-    repeated = F.greatest(F.lit(1.6) * usual_pair, F.lit(0.12))
+    repeated = F.greatest(3 * usual_pair, F.lit(0.12))
     # no sentences: function words are missing, from a long block or one without sentence ends
     wordlist = (function < 0.5) & ((b["words"] >= LONG) | ((b["words"] >= SHORT) & (ends < 0.5)))
     # keywords that hold function words themselves ("send the draft"): no sentence ends at all, or far too many
@@ -235,7 +235,7 @@ def judged(documents: DataFrame) -> DataFrame:
     usual = calibrated(pages)
     # at most one row per language of FUNCTION_WORDS and "ja", hence the broadcast
     rows = pages.join(F.broadcast(usual), "language", "left")
-    function, ends, pair = (F.coalesce(F.col(c), F.lit(v)) for c, v in (("usual_function", 0.4), ("usual_ends", 0.08), ("usual_top_pair", 0.06)))
+    function, ends, pair = (F.coalesce(F.col(c), F.lit(v)) for c, v in (("usual_function", 0.4), ("usual_ends", 0.08), ("usual_top_pair", 0.04)))
     function, ends = F.greatest(function, F.lit(0.1)), F.greatest(ends, F.lit(0.02))
     chars = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["chars"])
     junk = F.aggregate(F.filter("blocks", lambda b: _junk(b, function, ends, pair)), F.lit(0), lambda a, b: a + b["chars"])
