@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.operators.embedding import Embedder
+from strataform.workspace import staged
 
 
 def diff_chunks(fresh: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -54,7 +55,7 @@ def update_documents(index: DataFrame, chunks: DataFrame, ids: DataFrame, embedd
     document didn't have are embedded.
     """
     touched = index.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    planned = diff_chunks(chunks.drop("embedding"), touched)
+    planned = staged(diff_chunks(chunks.drop("embedding"), touched), "diff")  # used twice below
     known = planned.where("embedding is not null")
     fresh = embedder.embed(planned.where("embedding is null").drop("embedding"))
     return remove_documents(index, ids).unionByName(known.unionByName(fresh).select(*index.columns))
