@@ -36,7 +36,7 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="strataform-")
         sc.setCheckpointDir(named)
