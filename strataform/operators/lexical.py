@@ -104,13 +104,14 @@ def _near(wanted: DataFrame, vocabulary: DataFrame, scoring: Scoring) -> DataFra
 
 def scores(terms: DataFrame, posted: DataFrame, stats: DataFrame, scoring: Scoring = Scoring(), expand: bool = True) -> DataFrame:
     """``query_id, chunk_id, score`` of all chunks that hold a reached term."""
-    counts = posted.groupBy("term", "field").agg(F.count("*").alias("df"))
-    vocabulary = counts.select("term").distinct()
     if expand:
-        reached = expansions(terms, vocabulary, scoring)
+        reached = expansions(terms, posted.select("term").distinct(), scoring)
     else:
         reached = terms.select("q").distinct().select("q", F.col("q").alias("term"), F.lit(1.0).alias("weight"))
     best = terms.join(reached, "q").groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
+    # only postings of reached terms are counted and scored
+    posted = posted.join(best.select("term").distinct(), "term", "left_semi")
+    counts = posted.groupBy("term", "field").agg(F.count("*").alias("df"))
     boost = F.lit(0.0)
     for name, value in scoring.boosts.items():
         boost = F.when(F.col("field") == name, value).otherwise(boost)
