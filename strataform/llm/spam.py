@@ -157,6 +157,8 @@ def measure(lines: list[str], lang: str) -> Block:
 
 #: Least words of a block whose function words are looked at, with and without sentence ends.
 LONG, SHORT = 25, 8
+#: Least characters of a page's link blocks together; less is a link in passing.
+LISTED = 30
 MEASURES = ("chars", "words", "function", "top_word", "top_pair", "duplicate", "links", "separators", "glued", "data", "ends", "lines")
 _INTS = ("chars", "words", "lines")
 MEASURED = T.StructType(
@@ -200,8 +202,13 @@ def calibrated(pages: DataFrame) -> DataFrame:
     return blocks.groupBy("language").agg(*[v.alias(f"usual_{k}") for k, v in usual.items()])
 
 
-def _junk(b, usual_function, usual_ends, usual_pair):
-    """Whether a block is neither sentences nor data."""
+def _linklike(b, usual_function):
+    """Whether a block is links or menu entries instead of sentences."""
+    return (b["links"] >= 0.5) & (b["function"] / usual_function < 0.75)
+
+
+def _junk(b, usual_function, usual_ends, usual_pair, listed):
+    """Whether a block is neither sentences nor data; ``listed`` has the characters of the page's link blocks."""
     function, ends = b["function"] / usual_function, b["ends"] / usual_ends
     data = (b["data"] >= 0.5) & (b["links"] < 0.3)
     repeated = F.greatest(3 * usual_pair, F.lit(0.12))
@@ -210,8 +217,8 @@ def _junk(b, usual_function, usual_ends, usual_pair):
     # keywords that hold function words themselves ("send the draft"): no sentence ends at all, or far too many
     endless = (ends < 0.1) & (((function < 0.75) & (b["words"] >= 40) & (b["lines"] <= 3)) | ((function < 0.62) & (b["words"] >= 90)))
     choppy = (ends > 1.7) & (b["lines"] <= 3) & (((function < 0.65) & (b["words"] >= 60)) | ((function < 0.72) & (b["words"] >= 100)))
-    # links or menu entries instead of sentences
-    linked = (b["links"] >= 0.5) & (function < 0.75) & (b["chars"] >= 30)
+    # a list of links; its entries may be parted by blank lines or captions, so all of the page's count together
+    linked = _linklike(b, usual_function) & (listed >= LISTED)
     # one keyword strung through a text or along a line
     stuffed = (b["top_pair"] > repeated) & (b["words"] >= LONG - 1) & (ends < 0.6)
     stuffed = stuffed | ((b["top_pair"] > repeated + 0.03) & (b["words"] >= 40))
@@ -238,7 +245,9 @@ def judged(documents: DataFrame) -> DataFrame:
     function, ends, pair = (F.coalesce(F.col(c), F.lit(v)) for c, v in (("usual_function", 0.4), ("usual_ends", 0.08), ("usual_top_pair", 0.04)))
     function, ends = F.greatest(function, F.lit(0.1)), F.greatest(ends, F.lit(0.02))
     chars = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["chars"])
-    junk = F.aggregate(F.filter("blocks", lambda b: _junk(b, function, ends, pair)), F.lit(0), lambda a, b: a + b["chars"])
+    listed = F.aggregate(F.filter("blocks", lambda b: _linklike(b, function)), F.lit(0), lambda a, b: a + b["chars"])
+    rows = rows.withColumn("listed", listed)
+    junk = F.aggregate(F.filter("blocks", lambda b: _junk(b, function, ends, pair, F.col("listed"))), F.lit(0), lambda a, b: a + b["chars"])
     return rows.select("doc_id", "language", F.coalesce(F.try_divide(junk, chars), F.lit(0.0)).alias("junk_share"))
 
 

@@ -52,6 +52,14 @@ def test_shares_of_odd_texts(shares):
     assert all(got[1000 + i] == 0 for i in range(40))
 
 
+def test_short_links_parted_by_blank_lines(spark):
+    urls = [f"https://a{i}.test/p/{i}" for i in range(20)]
+    rows = [(1, "\n\n".join(urls)), (2, PROSE["en"] + "\n\n" + "\n\n".join(urls)), (3, "\n\n".join(f"Lamp {i}\n\n{u}" for i, u in enumerate(urls)))]
+    rows += [(4, PROSE["en"] * 4 + "\n\n" + "\n\n".join(urls[:8])), (5, "See there.\n\nhttps://a.test/p/1")]
+    rows += [(100 + i, PROSE["en"] * 4) for i in range(8)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 3}
+
+
 def test_empty(shares):
     assert spam.spam_pages(shares.limit(0)).count() == 0
 
