@@ -89,11 +89,17 @@ class IncrementalTarget:
         return None if rows is None else newest(rows, F.col("key"), F.col("version"))
 
     def pending(self, source: DataFrame) -> DataFrame:
-        """Newest source rows (``key, version`` and payload) not yet in the target."""
-        latest = source.where("key is not null").groupBy("key").agg(F.max_by(F.struct("*"), "version").alias("row"), F.max("version").alias("version"))
+        """Newest source rows (``key, version`` and payload) not yet in the target.
+
+        A key without any version gives one of its rows.  As in ``pending``, it
+        counts as done once the target has a version for it; until then nothing
+        tells whether it changed, so every run takes it in and replaces it.
+        """
+        order = F.struct(F.col("version").isNotNull(), "version")
+        latest = source.where("key is not null").groupBy("key").agg(F.max_by(F.struct("*"), order).alias("row"), F.max("version").alias("version"))
         state = self.state()
         left = latest if state is None else pending(latest, state)
-        return left.where("row is not null").select("row.*")
+        return left.select("row.*")
 
     def run(self, source: DataFrame, transform) -> int:
         """Process what is pending and publish it; returns the new version number.

@@ -136,6 +136,22 @@ def test_runs_neither_skip_nor_repeat(spark, tmp_path):
     assert {(r.key, r.body) for r in target.table.read().collect()} == {("a", "Y"), ("b", "W"), ("c", "V")}
 
 
+def test_runs_take_in_keys_without_version(spark, tmp_path):
+    target = incremental.IncrementalTarget(VersionedTable(spark, f"file://{tmp_path}/t"))
+    source = lambda *rows: spark.createDataFrame(list(rows), "key string, version long, body string")
+    rows = lambda: sorted((r.key, r.version, r.body) for r in target.table.read().collect())
+    keys = lambda df: sorted(r.key for r in target.pending(df).collect())
+    first = source(("a", None, "x"), ("a", None, "x"), ("b", None, "old"), ("b", 1, "y"), (None, None, "n"))
+    target.run(first, lambda pending: pending)
+    assert rows() == [("a", None, "x"), ("b", 1, "y")]
+    assert keys(first) == ["a"]  # the target has no version for it
+    target.run(source(("a", None, "z"), ("b", None, "old")), lambda pending: pending)
+    assert rows() == [("a", None, "z"), ("b", 1, "y")]
+    known = source(("a", None, "z"), ("a", 2, "w"))
+    target.run(known, lambda pending: pending)
+    assert rows() == [("a", 2, "w"), ("b", 1, "y")] and keys(known) == [] and keys(source(("a", None, "z"))) == []
+
+
 def test_random_feed_equals_truth(spark):
     rng = random.Random(4)
     changes = [change(s, "hot" if rng.random() < 1 / 3 else f"f{rng.randrange(50)}", rng.choice(["write", "write", "remove", "trash", "empty"])) for s in range(3000)]
