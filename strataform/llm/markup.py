@@ -175,9 +175,12 @@ _INLINE = [
 _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 
 # --- formulas: kept with their signs ---------------------------------------------------------------
+# Of any length, up to the nearest closing sign and never over another opening one, so each opening is searched for once.  ``\\[2pt]``
+# opens nothing.  Only a long ``\(`` may not hold a blank line: TeX allows none, and in prose it is more often an escaped bracket.
 _MATH = re.compile(
-    r"\$\$(?P<a>[^$]{1,2000}?)\$\$|\\\[(?P<b>.{1,2000}?)\\\]|\\begin\{(?P<env>equation|align|gather|multline|displaymath|eqnarray|math)(?P<star>\*?)\}(?P<c>.{1,4000}?)\\end\{(?P=env)(?P=star)\}"
-    r"|\\\((?P<d>.{1,500}?)\\\)|(?<![\\$\w])\$(?P<e>(?![\s\d$])[^$\n]*[^\s$\\]|[^\s$\\\d]|\d[^$\n]*[\\^_=][^$\n]*[^\s$\\])\$(?![\w$])",
+    r"\$\$(?P<a>[^$]+)\$\$|(?<!(?<!\\)\\)\\\[(?P<b>(?:(?!(?<!\\)\\\[).)+?)\\\]"
+    r"|\\begin\{(?P<env>equation|align|gather|multline|displaymath|eqnarray|math)(?P<star>\*?)\}(?P<c>(?:(?!\\begin\{(?P=env)(?P=star)\}).)+?)\\end\{(?P=env)(?P=star)\}"
+    r"|\\\((?P<d>.{1,500}?|(?:(?!\\\(|\n[ \t]*\n).)+?)\\\)|(?<![\\$\w])\$(?P<e>(?![\s\d$])[^$\n]*[^\s$\\]|[^\s$\\\d]|\d[^$\n]*[\\^_=][^$\n]*[^\s$\\])\$(?![\w$])",
     re.S,
 )
 

@@ -58,3 +58,11 @@ def test_rows(spark):
     rows = {r.record_id: (list(r.markup), r.clean_text) for r in markup.clean_breadcrumbs(chunks, F.col("id"), F.col("breadcrumbs")).collect()}
     assert rows == {"a:0": (["markdown"], "A › B"), "a:2": ([], "")}
     assert markup.clean_documents(docs.limit(0), F.col("id"), F.col("text")).count() == 0
+
+
+@pytest.mark.parametrize("opening, closing", [("$$", "$$"), (r"\[", r"\]"), (r"\begin{align}", r"\end{align}"), (r"\(", r"\)")])
+def test_long_formulas_are_kept(opening, closing):
+    body = r"\frac{a_1}{b} + \\[2pt] " * 300 + "c"
+    text = f"Before the *first* one.\n\n{opening}{body}{closing}\n\nBetween the *two* of them.\n\n{opening}x^2{closing}\n\nAfter."
+    got = markup.convert(text).text()
+    assert body in got and "x^2" in got and "Between the two of them." in got and "Before the first one." in got
