@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ from pyspark.sql.window import Window
 SAMPLE, MAX_LISTS = 16_384, 4096
 SLICE, CODES = 8, 256
 PROBES, RERANK, K = 8, 100, 10
+#: Ids that the exact search holds at a time.
+EXACT_IDS = 5000
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 16_384
 #: Up to so many query ids (about 50 bytes each) a broadcast picks the queries from the vectors; beyond, a shuffle does.
 BROADCAST_IDS = 200_000
@@ -292,12 +295,23 @@ def nearest(vectors: DataFrame, dims: int, ids: DataFrame | None = None, k: int
 
 
 def exact(vectors: DataFrame, dims: int, ids: DataFrame, k: int = K, block: int = 512) -> DataFrame:
-    """The same by comparing everything with everything; for measuring recall on a bounded query set.
+    """The same by comparing everything with everything; for measuring recall.
 
-    At most 5,000 queries, in blocks against the stream of all vectors.
+    All ids are answered, about 5,000 at a time against the stream of all vectors.
     """
+    wanted = ids.select("chunk_id").distinct()
+    parts = max(1, -(-wanted.count() // EXACT_IDS))
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
+    near = [_exact_part(vectors, dims, wanted.where(part == i), k, block) for i in range(parts)]
+    best = reduce(DataFrame.unionByName, near).groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def _exact_part(vectors: DataFrame, dims: int, ids: DataFrame, k: int, block: int) -> DataFrame:
+    """Candidates of so many ids as the driver can hold."""
     good = usable(vectors, dims)
-    wanted = good.join(F.broadcast(ids.select("chunk_id").distinct().limit(5000)), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).toArrow()
+    wanted = good.join(F.broadcast(ids), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).toArrow()
     names, q = wanted.column(0).to_pylist(), _matrix(wanted.column(1), dims)
     shared = vectors.sparkSession.sparkContext.broadcast((np.array(names, object), q))
 
@@ -316,10 +330,7 @@ def exact(vectors: DataFrame, dims: int, ids: DataFrame, k: int = K, block: int
                 ok = v.ravel() > -2
                 yield pa.RecordBatch.from_arrays([pa.array(q_names[rows[ok]], pa.string()), pa.array(ids_[top.ravel()[ok]], pa.string()), pa.array(v.ravel()[ok].astype(np.float64))], names=NEAR.names)
 
-    near = good.mapInArrow(run, NEAR)
-    best = near.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return good.mapInArrow(run, NEAR)
 
 
 def pairs(near: DataFrame) -> DataFrame:

@@ -62,3 +62,10 @@ def test_codes_estimate_similarity():
     back = index.centroids[lists] + np.concatenate([index.books[m][codes[:, m]] for m in range(left.shape[1])], axis=1)
     assert np.abs((x[:50] @ x.T) - (x[:50] @ back.T)).mean() < 0.05
     assert index.vector_blocks.min() >= 1 and pytest.approx(1, abs=1e-5) == np.linalg.norm(index.centroids, axis=1).mean()
+
+
+def test_exact_answers_every_id(spark):
+    rng = np.random.default_rng(3)
+    df = frame(spark, rng.normal(size=(5200, 4)).astype(np.float32)).select("chunk_id", "embedding")
+    got = ann.exact(df, 4, df.select("chunk_id"), k=1).select("query_id").distinct().count()
+    assert got == 5200
