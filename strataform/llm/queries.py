@@ -34,7 +34,7 @@ def _neighbours(spark: SparkSession, d: str, ids: DataFrame | None = None, **opt
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d, probes=4)
+    return _neighbours(spark, d)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
