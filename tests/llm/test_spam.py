@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from strataform.llm import spam
 
@@ -43,12 +44,12 @@ def shares(spark):
 
 
 def test_found(shares):
-    assert {r.doc_id for r in spam.spam_pages(shares).collect()} - {503} == set(range(len(SPAM)))
+    assert {r.doc_id for r in spam.spam_pages(shares).collect()} == set(range(len(SPAM)))
 
 
 def test_shares_of_odd_texts(shares):
     got = {r.doc_id: r.junk_share for r in spam.judged(shares).collect()}
-    assert 500 not in got and got[501] == 0 and got[502] == 0 and got[503] in (0.0, 1.0)
+    assert 500 not in got and got[501] == 0 and got[502] == 0 and got[503] == 0
     assert all(got[1000 + i] == 0 for i in range(40))
 
 
@@ -60,6 +61,33 @@ def test_short_links_parted_by_blank_lines(spark):
     assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 3}
 
 
+def test_keywords_with_a_price_and_short_paragraphs(spark):
+    words = "lamp shoes mug chair hose sale cheap best online deals price buy outlet discount reviews".split()
+    line = " ".join(words[(i * 7 + i // 5) % 15] for i in range(300))
+    rows = [(1, line + " $9"), (2, "\n\n".join(f"{words[i % 15]} {words[(i * 4 + 1) % 15]}" for i in range(60))), (3, "\n\n".join(PROSE["en"] for _ in range(3)))]
+    rows += [(100 + i, PROSE["en"] * 4) for i in range(8)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
+
+
+def test_limits_follow_the_documents(spark):
+    """The same page is judged by what its language usually shows: where all prose is terse, terse prose is no sign."""
+    terse = "Plan ready. Costs known. Desk informed. Office closed. Report merged. Copy kept. Team told. Room locked. "
+    rows = [(1, terse * 2)] + [(100 + i, PROSE["en"] * 4) for i in range(8)]
+    assert {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1}
+    rows = [(1, terse * 2)] + [(100 + i, terse * 2) for i in range(8)]
+    assert spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("sign", [*spam.SIGNS, *spam.PLAIN])
+def test_every_sign_counts(spark, sign):
+    usual = {c: 0.1 for c in ("words", *spam.SIGNS)} | {f"{c}_spread": 0.01 for c in spam.SIGNS}
+    b = {m: 0.1 for m in spam.MEASURES} | {"words": 30.0, "glued": 0.0, "duplicate": 0.0}
+    far = b | {sign: 0.0 if sign == "function" else 0.5}
+    rows = spark.createDataFrame([(b, usual), (far, usual)], f"b struct<{', '.join(m + ' double' for m in spam.MEASURES)}>, u struct<{', '.join(c + ' double' for c in usual)}>")
+    near, off = (r.s for r in rows.select(spam._score(F.col("b"), F.col("u")).alias("s")).collect())
+    assert abs(near) < 1e-9 and off >= 1.5
+
+
 def test_empty(shares):
     assert spam.spam_pages(shares.limit(0)).count() == 0
 
