@@ -3,11 +3,18 @@
 A text is read once from left to right.  Regions of code come out first, so
 that nothing inside them is taken for markup.  The rest is cut into flat
 blocks - one per paragraph, list item, table row or heading line - with the
-markup of all four languages removed and noted.  A decision tree looks at each
-block's word count and link density, at those of its neighbours, and at the
-marks it was written with, and tells headings, list items, table rows, code,
-formulas and running text from leftovers (preambles, table fences, menus),
-which are dropped.  The tree is grown from the small labelled table below.
+markup of all four languages removed and noted as signs of the block it stood
+in.  Two decision trees, grown from the labelled tables below, look at the
+blocks:
+
+* *role*: a block written as a heading, item, row, code or formula is one.  Of
+  the others, word count and link density of the block and of its neighbours
+  tell text from leftovers (menus, link bars), which are dropped.
+* *language*: which languages the signs of a block speak for.  Some signs
+  belong to several (a line that begins with a star, a rule); then the signs
+  of the other blocks decide, near ones and those of the whole text.
+
+The languages of a record are those of its classified blocks.
 """
 
 from __future__ import annotations
@@ -205,23 +212,32 @@ _ITEM = re.compile(r"^\s*\\item\b(?:\[([^\]\n]*)\])?\s*")
 _ENV = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """A flat block: what it says, how it was marked, and its class."""
+    """A flat block: what it says, how it was marked, its signs, and its classes."""
 
     text: str
     mark: str = ""  # heading, item, row, code, formula, fence, quote, or nothing
     level: int = 0
     words: int = 0
     linked: int = 0
+    signs: dict[str, int] = field(default_factory=dict)  # how often each language, or SHARED, shows
     kind: str = ""
+    languages: list[str] = field(default_factory=list)
+
+
+#: Signs that Markdown and wikis have in common: star and hash lists, rules.
+SHARED = "shared"
 
 
 @dataclass
 class Converted:
-    languages: set[str] = field(default_factory=set)
     blocks: list[Block] = field(default_factory=list)
 
+    @property
+    def languages(self) -> set[str]:
+        return {x for b in self.blocks for x in b.languages}
+
     def text(self) -> str:
         out: list[str] = []
         last = ""
@@ -236,26 +252,56 @@ class Converted:
         return "".join(out)
 
 
+# Private characters that stand for what was taken out: code and formulas (number between the first two), heading, item and row
+# of HTML, a removed tag, begin and end of a link, a character reference.
 _HELD = re.compile("\ue000(\\d+)\ue001")
+_HEAD, _ITEM_, _ROW_, _GONE, _LINK, _LINK_END, _CHAR_ = "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007", "\ue008"
+_RESERVED = dict.fromkeys(range(0xE000, 0xE009))
+_IN_LINK = re.compile(f"{_LINK}([^{_LINK_END}]*)")
 _WORDS = re.compile(r"\w+")
-_LINKED = re.compile(r"<a\b[^<>]*>(.*?)</a>|\]\(|https?://|\[\[", re.I | re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][\w:]*)")
+_ALT = re.compile(r"\balt\s*=\s*[\"']([^\"']*)[\"']", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>.*?</title\s*>", re.I | re.S)
+_CELLS = re.compile(r"</t[dh]\s*>\s*(?=<t[dh])", re.I)
+_ROW_BEGIN = re.compile(r"(<tr\b[^<>]*>)\s+", re.I)
+#: Elements that begin a new line.
+_BREAKS = frozenset("p div br hr section article header footer main nav aside blockquote ul ol dl dd dt table tbody thead tfoot caption figure figcaption form body html head center address".split())
+
+
+def _removed(m: re.Match) -> str:
+    """What is left of a tag: a line break where it makes one, and a mark that it was there."""
+    tag = _NAME.match(m.group())
+    if not tag:
+        return _GONE
+    close, name = tag[1], tag[2].lower()
+    if name in _BREAKS:
+        return "\n" + _GONE
+    if len(name) == 2 and name[0] == "h" and name[1] in "123456":
+        return "\n" + _GONE if close else f"\n{_GONE}{_HEAD}{name[1]}"
+    if name == "li":
+        return "\n" + _GONE if close else f"\n{_GONE}{_ITEM_}"
+    if name == "tr":
+        return "\n" + _GONE if close else f"\n{_GONE}{_ROW_}"
+    if name == "a":
+        return _GONE + (_LINK_END if close else _LINK)
+    if name == "img" and (alt := _ALT.search(m.group())):
+        return _GONE + alt[1]
+    return _GONE
 
 
 class _Reader:
     def __init__(self, text: str):
-        self.found: set[str] = set()
-        self.held: list[tuple[str, str]] = []
-        text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff").replace("\ue000", "").replace("\ue001", "")
+        self.held: list[tuple[str, str, str]] = []
+        text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff").translate(_RESERVED)
         parts, at = [], 0
         for s in code_spans(text):
-            self.found.add(s.language)
-            parts += [text[at : s.start], "" if s.kind == "hidden" else self._hold(s.kind, s.body)]
+            parts += [text[at : s.start], _GONE if s.kind == "hidden" else self._hold(s.kind, s.body, s.language)]
             at = s.end
         parts.append(text[at:])
         self.text = "".join(parts) if at else text
 
-    def _hold(self, kind: str, body: str) -> str:
-        self.held.append((kind, body))
+    def _hold(self, kind: str, body: str, language: str) -> str:
+        self.held.append((kind, body, language))
         token = f"\ue000{len(self.held) - 1}\ue001"
         return f"\n{token}\n" if kind in ("code", "formula") else token
 
@@ -264,76 +310,88 @@ class _Reader:
             return
 
         def hold(m: re.Match) -> str:
-            self.found.add("latex")
             body = next(g for g in (m["a"], m["b"], m["c"], m["d"], m["e"]) if g is not None).strip()
-            return self._hold("inline" if m["d"] is not None or m["e"] is not None else "formula", body)
+            return self._hold("inline" if m["d"] is not None or m["e"] is not None else "formula", body, "latex")
 
         self.text = _MATH.sub(hold, self.text)
 
     def html(self) -> None:
         t = self.text
-        if "<" in t and _TAG.search(t):
-            self.found.add("html")
-            t = re.sub(r"<h([1-6])\b[^<>]*>", lambda m: f"\n\ue002{m.group(1)}", t, flags=re.I)
-            t = re.sub(r"</h[1-6]\s*>", "\n", t, flags=re.I)
-            t = re.sub(r"<title\b[^<>]*>.*?</title\s*>", "\n", t, flags=re.I | re.S)
-            t = re.sub(r"<li\b[^<>]*>", "\n\ue003", t, flags=re.I)
-            t = re.sub(r"</li\s*>", "\n", t, flags=re.I)
-            t = re.sub(r"<tr\b[^<>]*>\s*", "\n\ue004", t, flags=re.I)
-            t = re.sub(r"</tr\s*>", "\n", t, flags=re.I)
-            t = re.sub(r"</t[dh]\s*>\s*(?=<t[dh])", " | ", t, flags=re.I)
-            t = _BLOCK_TAGS.sub("\n", t)
-            t = re.sub(r"<img\b[^<>]*\balt\s*=\s*[\"']([^\"']*)[\"'][^<>]*>", r"\1", t, flags=re.I)
-            t = _TAG.sub("", t)
+        if "<" in t:
+            t = _TITLE.sub("\n" + _GONE, t)
+            t = _ROW_BEGIN.sub(r"\1", _CELLS.sub(f"{_GONE} | ", t)) if "<t" in t or "<T" in t else t
+            t = _TAG.sub(_removed, t)
         if "&" in t:
-            seen = [m.group() for m in _REFERENCE.finditer(t) if _known(m.group())]
-            if seen:
-                self.found.add("html")
-                t = unescape(t)
+            t = _REFERENCE.sub(lambda m: _char(m.group()) + _CHAR_ if _known(m.group()) else m.group(), t)
         self.text = t
 
-    def inline(self, text: str) -> str:
+    def inline(self, text: str, signs: dict[str, int]) -> str:
         for language, hint, rule, to in _INLINE:
             if hint in text:
-                new, n = rule.subn(to, text)
+                text, n = rule.subn(to, text)
                 if n:
-                    self.found.add(language)
-                    text = new
+                    signs[language] = signs.get(language, 0) + n
         return text
 
     def restore(self, text: str) -> str:
-        return _HELD.sub(lambda m: self.held[int(m.group(1))][1], text)
+        return _HELD.sub(lambda m: self.held[int(m.group(1))][1], text) if "\ue000" in text else text
 
     def blocks(self) -> list[Block]:
         out: list[Block] = []
         paragraph: list[str] = []
-        stars: list[int] = []  # list lines that Markdown and wikis share
-        hashes: list[int] = []
+        paragraph_signs: dict[str, int] = {}
+        here: dict[str, int] = {}  # signs of the line at hand
         wiki_table = tabular = False
 
+        def note(language: str, n: int = 1) -> None:
+            here[language] = here.get(language, 0) + n
+
+        def keep(line: str) -> None:
+            paragraph.append(line)
+            for k, n in here.items():
+                paragraph_signs[k] = paragraph_signs.get(k, 0) + n
+
         def flush() -> None:
+            nonlocal paragraph_signs
             if paragraph:
-                joined = "\n".join(paragraph)
+                joined, signs = "\n".join(paragraph), paragraph_signs
                 paragraph.clear()
-                put(joined, "")
-
-        def put(raw: str, mark: str, level: int = 0) -> None:
-            linked = sum(len(_WORDS.findall(m.group(1) or "x")) for m in _LINKED.finditer(raw)) if "]" in raw or "http" in raw else 0
-            text = self.restore(self.inline(raw)).strip()
-            if text or mark == "fence":
-                out.append(Block(text, mark, level, len(_WORDS.findall(text)), linked))
-
-        lines = self.text.split("\n")
+                paragraph_signs = {}
+                put(joined, "", 0, signs)
+
+        def put(raw: str, mark: str, level: int = 0, signs: dict[str, int] | None = None) -> None:
+            signs = dict(here) if signs is None else signs
+            if "\ue000" in raw:
+                for m in _HELD.finditer(raw):
+                    language = self.held[int(m[1])][2]
+                    signs[language] = signs.get(language, 0) + 1
+            text = self.inline(raw, signs)
+            linked = raw.count("://") if "://" in raw else 0
+            if _LINK in text or _LINK_END in text:
+                linked += sum(len(_WORDS.findall(x)) for x in _IN_LINK.findall(text))
+                text = text.replace(_LINK, "").replace(_LINK_END, "")
+            text = self.restore(text).strip()
+            if text or mark == "fence" or signs:
+                out.append(Block(text, mark if text else "fence", level, len(_WORDS.findall(text)), linked, signs))
+
+        # tags and references count for the line they stood in; everything below sees it without their traces
+        raw_lines = self.text.split("\n")
+        traced = _GONE in self.text or _CHAR_ in self.text
+        lines = [x.replace(_GONE, "").replace(_CHAR_, "") for x in raw_lines] if traced else raw_lines
         for i, line in enumerate(lines):
+            here = {"html": n} if traced and (n := len(raw_lines[i]) - len(line)) else {}
             s = line.strip()
             if not s:
                 flush()
+                if here:
+                    put("", "fence")
                 continue
             c = s[0]
             if c == "\ue000" and (m := _HELD.fullmatch(s)) and self.held[int(m.group(1))][0] in ("code", "formula"):
                 flush()
-                kind, body = self.held[int(m.group(1))]
-                out.append(Block(body, kind, 0, len(_WORDS.findall(body))))
+                kind, body, language = self.held[int(m.group(1))]
+                note(language)
+                out.append(Block(body, kind, 0, len(_WORDS.findall(body)), 0, here))
                 continue
             if c == "\ue002":
                 flush()
@@ -341,18 +399,18 @@ class _Reader:
                 continue
             if c in "\ue003\ue004":
                 flush()
-                put(re.sub(r"</?t[dh]\b[^<>]*>", " ", s[1:]), "item" if c == "\ue003" else "row")
+                put(s[1:], "item" if c == "\ue003" else "row")
                 continue
             if c.isalnum() and "|" not in s and not ("&" in s and (tabular or "\\" in s or s.count(" & ") > 1)):  # most lines
                 following = lines[i + 1] if i + 1 < len(lines) else ""
                 if following[:1] in ("=", "-") and _SETEXT.match(following) and not paragraph:
-                    self.found.add("markdown")
+                    note("markdown")
                     put(s, "heading", 1 if following[0] == "=" else 2)
                 elif _PLAIN_ITEM.match(line):
                     flush()
                     put(_PLAIN_ITEM.sub("", line), "item")
                 else:
-                    paragraph.append(line)
+                    keep(line)
                 continue
             if c in "=-" and _SETEXT.match(line) and i and lines[i - 1].strip():
                 flush()
@@ -361,75 +419,76 @@ class _Reader:
                 beside = any(_HASH.match(lines[k]) for k in (i - 1, i + 1) if 0 <= k < len(lines))
                 flush()
                 if len(m[1]) == 1 and beside:
-                    hashes.append(len(out))
+                    note(SHARED)
                     put(m[2], "item")
                 else:
-                    self.found.add("markdown")
+                    note("markdown")
                     put(m[2], "heading", len(m[1]))
                 continue
             if c == "=" and (m := _WIKI_HEAD.match(line)):
                 flush()
-                self.found.add("wiki")
+                note("wiki")
                 put(m[2], "heading", len(m[1]))
                 continue
             if c == "\\":
                 if m := _LATEX_HEAD.match(line):
                     flush()
-                    self.found.add("latex")
+                    note("latex")
                     put(m[1] + line[m.end() :], "heading", 1 + line.count("sub", 0, m.end()))
                     continue
                 if m := _ITEM.match(line):
                     flush()
-                    self.found.add("latex")
+                    note("latex")
                     put((m[1] + " " if m[1] else "") + line[m.end() :], "item")
                     continue
                 if m := _ENV.search(line):
                     flush()
                     if "tab" in m.group() or "array" in m.group():
                         tabular = m.group().startswith("\\begin")
-                    self.found.add("latex")
+                    note("latex")
                     rest = _ENV.sub("", line)
                     put(rest, "row" if "&" in rest else "" if rest.strip() else "fence")
                     continue
             if _RULE.match(line):
                 flush()
-                self.found.add("wiki" if "wiki" in self.found and "markdown" not in self.found else "markdown")
+                note(SHARED)
+                put("", "fence")
                 continue
             if c in "-+*" and _TASK.match(line):
                 flush()
-                self.found.add("markdown")
+                note("markdown")
                 put(_TASK.sub("", line), "item")
                 continue
             if c in "-+" and _DASH.match(line):
                 flush()
-                self.found.add("markdown")
+                note("markdown")
                 put(_DASH.sub("", line), "item")
                 continue
             if c == "*" and _STAR.match(line):
                 flush()
-                stars.append(len(out))
+                note(SHARED)
                 put(_STAR.sub("", line), "item")
                 continue
             if c in "*#:;" and (_STARS.match(line) or _COLON.match(line)):
                 flush()
-                self.found.add("wiki")
+                note("wiki")
                 put((_STARS if _STARS.match(line) else _COLON).sub("", line), "item")
                 continue
             if c == ">" and _QUOTE.match(line):
                 flush()
-                self.found.add("markdown")
+                note("markdown")
                 put(_QUOTE.sub("", line), "quote")
                 continue
             if s.startswith("{|"):
                 flush()
-                self.found.add("wiki")
+                note("wiki")
                 wiki_table = True
                 put("", "fence")
                 continue
             if c in "|!" and (wiki_table or s[:2] in ("|-", "|}", "|+")) and not _DIVIDER.match(line) and not _ROW.match(line):
                 flush()
                 if wiki_table or s in ("|-", "|}"):
-                    self.found.add("wiki")
+                    note("wiki")
                 if s.startswith("|}"):
                     wiki_table = False
                 if s[:2] in ("|-", "|}"):
@@ -439,7 +498,7 @@ class _Reader:
                 continue
             if "|" in s and _DIVIDER.match(line):
                 flush()
-                self.found.add("markdown")
+                note("markdown")
                 put("", "fence")
                 continue
             if c == "|" and _ROW.match(line):
@@ -450,7 +509,7 @@ class _Reader:
                 flush()
                 put(re.sub(r"\\\\(?:\[[^\]]*\])?\s*$|\\hline", "", s).replace(" & ", " | "), "row")
                 if s.rstrip().endswith("\\\\"):
-                    self.found.add("latex")
+                    note("latex")
                 continue
             if _PLAIN_ITEM.match(line):
                 flush()
@@ -458,55 +517,74 @@ class _Reader:
                 continue
             following = lines[i + 1] if i + 1 < len(lines) else ""
             if following[:1] in ("=", "-") and _SETEXT.match(following) and not paragraph and c not in "=-|":
-                self.found.add("markdown")
+                note("markdown")
                 put(s, "heading", 1 if following[0] == "=" else 2)
                 continue
-            paragraph.append(line)
+            keep(line)
         flush()
-        if (stars or hashes) and "wiki" not in self.found:
-            self.found.add("markdown")
         return out
 
 
-# --- the decision tree -----------------------------------------------------------------------------
-KINDS = ("text", "heading", "list", "table", "code", "formula", "residue")
-_MARKS = ("heading", "item", "row", "code", "formula", "fence", "quote")
-_ENDS = re.compile(r"[.!?。！？:;,…]\W*$")
-_SIGNS = re.compile(r"[=+*/^_<>{}()\[\]\\|;&$%#-]")
+# --- the decision trees ----------------------------------------------------------------------------
+#: Classes of a block; a mark with which it was written has decided already.
+ROLE = {"heading": "heading", "item": "list", "row": "table", "code": "code", "formula": "formula", "quote": "text", "fence": "residue"}
+KINDS = ("text", "residue")
+
+
+def density(b: Block) -> float:
+    return min(1.0, b.linked / b.words) if b.words else float(b.linked > 0)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """Word count and link density of each block and its neighbours, and its marks."""
-    n = len(blocks)
-    x = np.zeros((n, 6 + len(_MARKS) + 3))
-    for i, b in enumerate(blocks):
-        x[i, 0] = b.words
-        x[i, 1] = min(1.0, b.linked / b.words) if b.words else float(b.linked > 0)
-        if b.mark:
-            x[i, 6 + _MARKS.index(b.mark)] = 1
-        x[i, -3] = bool(_ENDS.search(b.text))
-        x[i, -2] = len(_SIGNS.findall(b.text)) / max(1, len(b.text))
-        x[i, -1] = b.text.count("\n")
-    x[1:, 2:4] = x[:-1, 0:2]
-    x[:-1, 4:6] = x[1:, 0:2]
+    """Word count and link density of each block and of the blocks before and after."""
+    own = np.array([(b.words, density(b)) for b in blocks], float).reshape(-1, 2)
+    x = np.zeros((len(blocks), 6))
+    x[:, 0:2] = own
+    x[1:, 2:4] = own[:-1]
+    x[:-1, 4:6] = own[1:]
     return x
 
 
-#: The labelled table: class, marks, words, linked words, text; neighbours are the rows beside.
+#: The labelled table of roles: class, words, link density, and the same of the block before and of the one after.
 LABELLED = [
-    ("heading", "heading", "Office handbook", 0), ("text", "", "We keep the plan in the wiki, and the team owns it. It is read before each change, and nobody edits it alone.", 0),
-    ("heading", "heading", "Risks and open questions", 0), ("text", "", "Nothing is known yet.", 0), ("list", "item", "label the boxes", 0), ("list", "item", "list what changed", 0),
-    ("list", "item", "read the long note about the retention schedule before you start, and tell the others.", 0), ("residue", "fence", "", 0), ("table", "row", "name | count | owner", 0),
-    ("residue", "fence", "", 0), ("table", "row", "Osta | 29 | Definitions", 0), ("table", "row", "a | b", 0), ("residue", "fence", "", 0), ("text", "quote", "Said in the last meeting, and noted here.", 0),
-    ("code", "code", "for row in rows:\n    print(row)", 0), ("text", "", "This prints the rows in the order of the file, one per line.", 0), ("code", "code", "ls", 0), ("formula", "formula", "a^2 + b^2 = c^2", 0),
-    ("text", "", "holds for each of the samples that were taken in March.", 0), ("formula", "formula", "\\sum_{i=1}^{n} x_i", 0), ("text", "", "See the annex", 0), ("residue", "", "Home", 1), ("residue", "", "Imprint Contact", 2),
-    ("residue", "", "Next page", 2), ("text", "", "The costs rose by 8 percent, as the report says (see the link to the page), which nobody had expected.", 3), ("heading", "heading", "Scope", 1), ("list", "item", "the plan", 2),
-    ("list", "item", "the list of the open points", 5), ("text", "", "合計を確かめる。日程を確かめる。", 0), ("heading", "heading", "概要", 0), ("text", "", "n = p * q + 1.", 0), ("text", "quote", "score = 1 / (k + rank).", 0),
-    ("text", "", "x", 0), ("residue", "fence", "", 0), ("text", "", "It took 68 days until the travel desk archived the contract.\nNobody merged the plan.", 0), ("table", "row", "name | 12 | 4.50 | see the plan", 2), ("code", "code", "", 0),
-    ("residue", "fence", "", 0), ("text", "", "End of it.", 0), ("residue", "fence", "", 0), ("residue", "fence", "", 0), ("text", "", "Nothing else was found in the third sample of the year.", 0),
-    ("residue", "fence", "", 0), ("heading", "heading", "Annex", 0), ("residue", "fence", "", 0), ("list", "item", "close it", 0), ("residue", "fence", "", 0), ("table", "row", "c | d", 0),
-    ("residue", "fence", "", 0), ("formula", "formula", "n", 0), ("residue", "fence", "", 0), ("code", "code", "rm -r old", 0),
-    ("residue", "", "", 1), ("text", "", "Ask the desk for a copy; the office only holds the summary. More is in the plan and in the older report of the audit office.", 4),
+    ("text", 24, 0, 3, 0, 4, 0), ("text", 4, 0, 24, 0, 3, 0), ("text", 11, 0, 0, 0, 0, 0), ("text", 3, 0, 0, 0, 0, 0), ("text", 1, 0, 0, 0, 0, 0), ("text", 2, 0, 30, 0, 25, 0), ("text", 3, 0, 2, 0, 40, 0),
+    ("text", 60, 0.1, 2, 0, 2, 0), ("text", 40, 0.3, 5, 0, 30, 0.2), ("text", 25, 0.5, 30, 0, 20, 0), ("text", 18, 0.6, 0, 0, 25, 0), ("text", 120, 0, 80, 0, 90, 0), ("text", 7, 0.3, 20, 0, 20, 0), ("text", 6, 0.5, 18, 0, 22, 0),
+    ("text", 1, 1, 20, 0, 25, 0), ("text", 5, 1, 30, 0, 0, 0), ("text", 3, 1, 12, 0, 14, 0), ("text", 2, 1, 0, 0, 0, 0), ("text", 8, 1, 0, 0, 0, 0), ("text", 12, 0.9, 15, 0.1, 0, 0), ("text", 0, 0, 5, 0, 9, 0),
+    ("text", 9, 0, 1, 1, 2, 1), ("text", 5, 0, 2, 1, 1, 1), ("text", 30, 0.1, 1, 1, 1, 1), ("text", 2, 0, 1, 1, 1, 1), ("text", 14, 0, 4, 0.9, 20, 0), ("text", 10, 0.4, 2, 1, 2, 1), ("text", 4, 1, 25, 0, 3, 0),
+    ("text", 30, 0.8, 1, 1, 1, 1), ("text", 22, 0.75, 2, 1, 3, 1), ("text", 45, 0.9, 2, 1, 1, 1), ("text", 28, 1, 3, 1, 2, 1),
+    ("residue", 1, 1, 1, 1, 1, 1), ("residue", 2, 1, 1, 1, 2, 1), ("residue", 1, 1, 0, 0, 2, 1), ("residue", 3, 1, 2, 1, 0, 0), ("residue", 2, 1, 0, 0, 1, 1), ("residue", 4, 1, 3, 1, 5, 1), ("residue", 5, 0.9, 4, 1, 25, 0),
+    ("residue", 2, 1, 30, 0, 3, 1), ("residue", 6, 1, 2, 1, 3, 0.8), ("residue", 3, 0.8, 1, 1, 2, 1), ("residue", 12, 1, 4, 0.9, 3, 1), ("residue", 9, 0.9, 5, 1, 6, 0.9), ("residue", 0, 1, 1, 1, 1, 1), ("residue", 2, 1, 3, 1, 40, 0.1),
+]
+
+
+def evidence(blocks: list[Block], i: int, language: str, total: dict[str, int]) -> list[float]:
+    """What tells whether block i holds a language: its signs, those it shares, those around it, word counts and densities."""
+    b = blocks[i]
+    before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
+    near = lambda x, k: min(x.signs.get(k, 0), 9) if x else 0
+    other = "markdown" if language == "wiki" else "wiki"
+    out = [near(b, language), near(b, SHARED), language == "wiki", language == "markdown", near(before, language) + near(after, language), near(before, other) + near(after, other)]
+    out += [min(total.get(language, 0), 9), min(total.get(other, 0), 9), min(b.words, 99), density(b)]
+    return [*out, *(v for x in (before, after) for v in ((min(x.words, 99), density(x)) if x else (0, 0)))]
+
+
+def suspects(b: Block) -> list[str]:
+    """Languages of which a block has signs, its own or shared ones."""
+    if not b.signs:
+        return []
+    found = [x for x in LANGUAGES if x in b.signs]
+    return found + [x for x in ("markdown", "wiki") if x not in found] if SHARED in b.signs else found
+
+
+#: The labelled texts of the languages.
+WRITTEN = [
+    ("markdown", "# Office handbook\n\nWe keep the **plan** in the [wiki](http://w.test/a), and the team owns it.\n\n- label the boxes\n- list what changed"), ("markdown", "* one\n* two\n* three of the long list"), ("markdown", "A line.\n\n* * *\n\nAnother line."),
+    ("markdown", "# one\n# two"), ("markdown", "Read `this` first.\n\n---\n\n> said in the meeting\n\n* a\n* b"), ("markdown", "Title\n=====\n\nSome text.\n\n* item of the list"), ("markdown", "Notes of the day.\n\n* close the tickets\n\nThe end of it, as the team says."), ("markdown", "~~gone~~ and **kept**"),
+    ("wiki", "== Head ==\n* one\n* two"), ("wiki", "'''Plan''' of the year, see [[Plan|the plan]].\n\n----\n\n# one\n# two"), ("wiki", "* one\n* two\n\n== Later ==\nText."), ("wiki", "{| class=t\n|-\n| a || b\n|}\n* one"), ("wiki", "Some text about it.\n\n* [[One]]\n* two\n\n{{stub}}"), ("wiki", "# first\n# second\n\nSee [[Other]]."),
+    ("wiki", "* one\n\nA long paragraph that stands between the list and the rest of the page, so that nothing near tells.\n\nAnd another one.\n\n[[Category:Plans]]"), ("wiki", "== A ==\n\nText.\n\nMore of the text.\n\nEven more.\n\n----\n\nThe end."),
+    ("html", "<h1>Title</h1><p>It is <b>so</b>.</p><ul><li>one</li></ul>"), ("html", "R&amp;D work"), ("html", "Text.<!-- draft -->"), ("html", "<a href=x>Home</a><br><a href=y>Imprint</a>"), ("html markdown", "<div>\n\n**bold** text\n\n</div>"), ("html wiki", "== H ==\nText<ref>x</ref> and <br/>\n* one"),
+    ("latex", "\\section{Scope}\n\nWith $a^2$ it \\emph{holds}.\n\n\\begin{itemize}\n\\item one\n\\end{itemize}"), ("latex", "up 9 \\% now"), ("latex", "\\[ a = b \\]"), ("latex markdown", "## Head\n\nIt is $x_1$ here."), ("latex wiki", "== Head ==\n\n$x_1$ and '''b'''\n\n* one"),
+    ("markdown wiki", "# Head one\n\n[[Page|shown]] text\n\n* a"), ("markdown wiki", "**bold** and '''bold'''\n\n---\n\ntext"), ("html markdown", "<p>x</p>\n\n* one\n* two"), ("latex markdown", "\\textbf{x}\n\n* one\n* two"), ("", "• one\n• two\n\nPlain text."), ("", "1. one\n2. two"),
 ]
 
 
@@ -521,7 +599,7 @@ class Node:
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
     """A binary tree by Gini impurity; ties go to the first feature and cut."""
-    counts = np.bincount(y, minlength=len(KINDS))
+    counts = np.bincount(y)
     node = Node(int(counts.argmax()))
     if depth == 0 or (counts > 0).sum() == 1:
         return node
@@ -533,7 +611,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
             low = x[:, f] < cut
             gain = base
             for side in (low, ~low):
-                share = np.bincount(y[side], minlength=len(KINDS)) / side.sum()
+                share = np.bincount(y[side]) / side.sum()
                 gain -= side.mean() * (1 - (share**2).sum())
             if gain > best:
                 best, node.feature, node.cut = gain, f, float(cut)
@@ -543,40 +621,69 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
     return node
 
 
-def classify(node: Node, x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
+def decide(node: Node, row) -> int:
+    """The class of one row of features."""
+    while node.feature >= 0:
+        node = node.low if row[node.feature] < node.cut else node.high
+    return node.kind
 
-    def walk(n: Node, at: np.ndarray) -> None:
-        if n.feature < 0 or not len(at):
-            out[at] = n.kind
-            return
-        low = x[at, n.feature] < n.cut
-        walk(n.low, at[low])
-        walk(n.high, at[~low])
 
-    walk(node, np.arange(len(x)))
-    return out
+@dataclass
+class Trees:
+    role: Node  # of KINDS
+    language: Node  # 1 if a block holds the language asked for
 
 
-def trained() -> Node:
-    blocks = [Block(text, mark, 0, len(_WORDS.findall(text)), linked) for _, mark, text, linked in LABELLED]
-    return grow(features(blocks), np.array([KINDS.index(k) for k, *_ in LABELLED]))
+def _read(text: str) -> list[Block]:
+    reader = _Reader(text)
+    reader.formulas()
+    reader.html()
+    return reader.blocks()
 
 
-TREE = trained()
-_PLAIN = re.compile(r"[<>&\\$#*_`\[{}|=~+-]|''|^[:;]", re.M)
+def _totals(blocks: list[Block]) -> dict[str, int]:
+    total: dict[str, int] = {}
+    for b in blocks:
+        for k, n in b.signs.items():
+            total[k] = total.get(k, 0) + n
+    return total
 
 
-def convert(text: str, tree: Node = TREE) -> Converted:
-    """Blocks and markup languages of a text."""
-    reader = _Reader(text)
-    reader.formulas()
-    reader.html()
-    blocks = reader.blocks()
-    if blocks:
-        for b, k in zip(blocks, classify(tree, features(blocks))):
-            b.kind = KINDS[k]
-    return Converted(reader.found, blocks)
+def trained() -> Trees:
+    """Both trees, from the tables above."""
+    roles = np.array([row[1:] for row in LABELLED], float)
+    rows, held = [], []
+    for languages, text in WRITTEN:
+        blocks = _read(text)
+        total = _totals(blocks)
+        for i, b in enumerate(blocks):
+            for language in suspects(b):
+                rows.append(evidence(blocks, i, language, total))
+                held.append(int(language in languages.split()))
+    return Trees(grow(roles, np.array([KINDS.index(row[0]) for row in LABELLED])), grow(np.array(rows, float), np.array(held)))
+
+
+TREES = trained()
+
+
+def convert(text: str, trees: Trees = TREES) -> Converted:
+    """The classified blocks of a text."""
+    blocks = _read(text)
+    total = _totals(blocks)
+    open_ = False
+    for i, b in enumerate(blocks):
+        b.languages = [x for x in suspects(b) if decide(trees.language, evidence(blocks, i, x, total))]
+        b.kind = ROLE.get(b.mark, "")
+        open_ = open_ or not b.kind
+    if open_:
+        shown = [b for b in blocks if b.text]  # neighbours are those a reader sees
+        for b, row in zip(shown, features(shown)):
+            if not b.kind:
+                b.kind = KINDS[decide(trees.role, row)]
+    return Converted(blocks)
+
+
+_PLAIN = re.compile(r"[<>&\\$#*_`\[{}|=~+-]|''|^[:;]", re.M)
 
 
 def clean_heading(text: str) -> tuple[str, set[str]]:

@@ -44,10 +44,39 @@ def test_the_four_languages_agree():
         assert not any(x in out for x in ("<", "'''", "\\", "{"))
 
 
-def test_tree_learns_its_table_and_drops_menus():
-    blocks = [markup.Block(t, m, 0, len(t.split()), n) for _, m, t, n in markup.LABELLED]
-    x = markup.features([markup.Block(b.text, b.mark, 0, len(markup._WORDS.findall(b.text)), b.linked) for b in blocks])
-    assert [markup.KINDS[k] for k in markup.classify(markup.TREE, x)] == [k for k, *_ in markup.LABELLED]
+def test_trees_learn_their_tables():
+    for kind, *row in markup.LABELLED:
+        assert markup.KINDS[markup.decide(markup.TREES.role, row)] == kind
+    for languages, text in markup.WRITTEN:
+        assert markup.convert(text).languages == set(languages.split())
+
+
+def test_the_trees_decide():
+    """With a tree of one leaf no language is found, or every one that has a sign; no menu is dropped."""
+    text = "== Head ==\n\n* one\n\nText."
+    none, every = (markup.Trees(markup.TREES.role, markup.Node(k)) for k in (0, 1))
+    assert markup.convert(text).languages == {"wiki"}
+    assert markup.convert(text, none).languages == set()
+    assert markup.convert(text, every).languages == {"markdown", "wiki"}
+    page = "<a href=a>Home</a><br><br><a href=b>Next page</a><br><br><p><a href=c>Imprint</a></p><p>The plan was read in the meeting, and nobody had any question about it.</p>"
+    assert markup.convert(page).text() == "The plan was read in the meeting, and nobody had any question about it."
+    kept = markup.convert(page, markup.Trees(markup.Node(0), markup.TREES.language)).text()
+    assert "Home" in kept and "Next page" in kept
+
+
+def test_neighbours_and_words_tell_menus_from_links_in_text():
+    prose = "The plan was read in the meeting, and nobody had any question about the costs of it."
+    assert markup.convert(f"{prose}\n\n[The plan](http://a.test)\n\n{prose}").text() == f"{prose}\n\nThe plan\n\n{prose}"
+    assert markup.convert(f"[Home](http://a.test)\n\n[The plan](http://a.test)\n\n[Next](http://a.test)\n\n{prose}").text() == prose
+    linked = "[" + " ".join(["The report of the audit office on the retention of old files"] * 3) + "](http://a.test)."
+    assert "audit office" in markup.convert(f"[Home](http://a.test)\n\n{linked}\n\n[Next](http://a.test)").text()
+
+
+@pytest.mark.parametrize("end", [".", "!", "?", ":", ";", ",", "。", "…"])
+def test_final_punctuation_changes_no_role(end):
+    text = f"## What changed{end}\n\n- one{end}\n- two{end}\n\n```\nint x = 1{end}\n```\n\n| a | b{end} |\n|---|---|\n| 1 | 2{end} |\n\n$$a = b{end}$$\n\nThe end{end}"
+    assert markup.convert(text).text() == f"## What changed{end}\n\n• one{end}\n• two{end}\n\nint x = 1{end}\n\na | b{end}\n1 | 2{end}\n\na = b{end}\n\nThe end{end}"
+    assert [b.kind for b in markup.convert(text).blocks if b.kind != "residue"] == ["heading", "list", "list", "code", "table", "table", "formula", "text"]
 
 
 def test_rows(spark):
