@@ -141,20 +141,22 @@ def _known(ref: str) -> bool:
 
 # --- inline marks: pattern, replacement, language -------------------------------------------------
 _ARG = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
+_LINK, _LINK_END = "\ue006", "\ue007"  # private characters around the words of a link
+_SHOWN = f"{_LINK}\\1{_LINK_END}"
 _INLINE = [
     # images and links before emphasis
     ("markdown", "[", re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
-    ("markdown", "[", re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])+)\]\([^()\n]*\)"), r"\1"),
+    ("markdown", "[", re.compile(r"\[((?:[^\[\]\n]|\[[^\[\]\n]*\])+)\]\([^()\n]*\)"), _SHOWN),
     ("markdown", "[", re.compile(r"\[\^[\w-]+\]:?"), ""),
     ("markdown", "[", re.compile(r"^\s{0,3}\[[^\[\]\n]+\]:\s+\S+.*$", re.M), ""),
-    ("markdown", "[", re.compile(r"\[([^\[\]\n]+)\]\s?\[[\w -]*\](?=[\s.,;:!?)]|$)(?<!\]\])"), r"\1"),
+    ("markdown", "[", re.compile(r"\[([^\[\]\n]+)\]\s?\[[\w -]*\](?=[\s.,;:!?)]|$)(?<!\]\])"), _SHOWN),
     ("markdown", "<", re.compile(r"<((?:https?|ftp|mailto):[^<>\s]+)>"), r"\1"),
     ("markdown", "{#", re.compile(r"\s*\{#[\w:.-]+[^{}\n]*\}"), ""),
     ("wiki", "#", re.compile(r"^\s*#(?:REDIRECT|WEITERLEITUNG|REDIRECTION|REDIRECCIÓN|転送)\b:?\s*", re.M | re.I), ""),
     ("wiki", "[[", re.compile(r"\[\[(?:File|Image|Datei|Bild|Fichier|Archivo|Category|Kategorie|Catégorie|Categoría):[^\[\]\n]*?(?:\|([^\[\]|\n]*))?\]\]", re.I), r"\1"),
-    ("wiki", "[[", re.compile(r"\[\[(?![\s\d\[{'\"-]*[\],])[^\[\]|\n]*\|([^\[\]\n]*)\]\]"), r"\1"),
-    ("wiki", "[[", re.compile(r"\[\[(?!\s*-?\d+\s*[,\]])([^\[\]\n]+)\]\]"), r"\1"),
-    ("wiki", "[", re.compile(r"\[(?:https?|ftp)://[^\s\[\]]+(?:\s+([^\[\]\n]*))?\]"), r"\1"),
+    ("wiki", "[[", re.compile(r"\[\[(?![\s\d\[{'\"-]*[\],])[^\[\]|\n]*\|([^\[\]\n]*)\]\]"), _SHOWN),
+    ("wiki", "[[", re.compile(r"\[\[(?!\s*-?\d+\s*[,\]])([^\[\]\n]+)\]\]"), _SHOWN),
+    ("wiki", "[", re.compile(r"\[(?:https?|ftp)://[^\s\[\]]+(?:\s+([^\[\]\n]*))?\]"), _SHOWN),
     ("wiki", "{{", re.compile(r"\{\{(?:quote|code|term|lang|nowrap|small|big|math)\|(?:1=|text=)?([^{}|\n]*)(?:\|[^{}\n]*)?\}\}", re.I), r"\1"),
     ("wiki", "{{", re.compile(r"\{\{[^{}\n]+\}\}"), ""),
     ("wiki", "__", re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__"), ""),
@@ -253,9 +255,9 @@ class Converted:
 
 
 # Private characters that stand for what was taken out: code and formulas (number between the first two), heading, item and row
-# of HTML, a removed tag, begin and end of a link, a character reference.
+# of HTML, a removed tag, a character reference.
 _HELD = re.compile("\ue000(\\d+)\ue001")
-_HEAD, _ITEM_, _ROW_, _GONE, _LINK, _LINK_END, _CHAR_ = "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007", "\ue008"
+_HEAD, _ITEM_, _ROW_, _GONE, _CHAR_ = "\ue002", "\ue003", "\ue004", "\ue005", "\ue008"
 _RESERVED = dict.fromkeys(range(0xE000, 0xE009))
 _IN_LINK = re.compile(f"{_LINK}([^{_LINK_END}]*)")
 _WORDS = re.compile(r"\w+")
@@ -366,7 +368,7 @@ class _Reader:
                     language = self.held[int(m[1])][2]
                     signs[language] = signs.get(language, 0) + 1
             text = self.inline(raw, signs)
-            linked = raw.count("://") if "://" in raw else 0
+            linked = text.count("://")
             if _LINK in text or _LINK_END in text:
                 linked += sum(len(_WORDS.findall(x)) for x in _IN_LINK.findall(text))
                 text = text.replace(_LINK, "").replace(_LINK_END, "")
