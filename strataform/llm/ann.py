@@ -1,7 +1,11 @@
 """The most similar vectors, by an inverted file with product-quantised residuals.
 
-Fitting looks at a bounded sample: coarse centroids by spherical k-means, and
+Fitting looks at bounded samples: coarse centroids by spherical k-means, and
 codebooks for slices of what is left after the nearest centroid is taken away.
+There are as many lists as the square root of the number of vectors.  While a
+sample on the driver can tell them, they are fitted there; beyond, regions are
+fitted on the driver and each region's lists on an executor, from a sample of
+the region that is bounded by its number of lists.
 Indexing looks at every vector: it goes to the list of its nearest centroid,
 as codes of one byte per slice and as the vector itself.  A query visits the
 lists of its nearest centroids.  There the similarity of every member is
@@ -9,10 +13,11 @@ estimated from one table of slice products per query (the query isn't
 quantised), the best of a list are compared exactly, and the best of all lists
 are kept.
 
-Lists lie in groups of neighbouring centroids, so that a query crosses the
-shuffle about once instead of once per list.  A group expected to be large is
-cut into blocks of vectors and blocks of queries, so that a crowded region is
-spread over many tasks and no task holds more than a block of each.
+Lists lie in groups of neighbouring centroids, a group for about
+``VECTOR_BLOCK`` vectors, so that a query crosses the shuffle once or twice
+instead of once per list.  A group expected to be larger is cut into blocks of
+vectors and blocks of queries, so that a crowded region is spread over many
+tasks and no task holds more than a block of each.
 """
 
 from __future__ import annotations
@@ -29,13 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bound of the sample that is fitted, and of the number of lists (hence of what is broadcast: 4096 x dims floats).
-SAMPLE, MAX_LISTS = 16_384, 4096
+#: Bounds of what is fitted: rows on the driver, rows a list in either place, and lists (hence of what is broadcast: 65,536 x dims
+#: floats are 100 MB at 384 dims, reached at 4 billion vectors; beyond, lists grow longer).
+SAMPLE, PER_LIST, MAX_LISTS = 16_384, 8, 65_536
+#: Rows that one region's fit may hold.
+REGION_ROWS = 16_384
 SLICE, CODES = 8, 256
 PROBES, RERANK, K = 8, 100, 10
 #: Ids that the exact search holds at a time.
 EXACT_IDS = 5000
-VECTOR_BLOCK, QUERY_BLOCK = 16_384, 16_384
+VECTOR_BLOCK, QUERY_BLOCK = 8_192, 32_768
 #: Up to so many query ids (about 50 bytes each) a broadcast picks the queries from the vectors; beyond, a shuffle does.
 BROADCAST_IDS = 200_000
 
@@ -94,25 +102,78 @@ def _slices(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, SLICE)
 
 
-def fit(sample: np.ndarray, rows: int, queries: int, probes: int = PROBES, seed: int = 7) -> Index:
+def lists_for(rows: int) -> int:
+    """The square root of the number of vectors, so that a query's work grows with it and not with the vectors."""
+    return int(max(1, min(MAX_LISTS, round(rows**0.5))))
+
+
+def coarse(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
+    """Centroids of lists or regions, at most one for ``PER_LIST`` rows of the sample."""
+    return kmeans(sample, int(max(1, min(lists, len(sample) // PER_LIST or 1))), 8, np.random.default_rng(seed), True)
+
+
+def refined(good: DataFrame, rows: int, sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
+    """Centroids of more lists than the sample can tell, fitted on executors region by region.
+
+    A region is as large as ``REGION_ROWS`` rows of sample allow; crowded
+    places have more regions, as centroids follow the vectors.  Only centroids
+    come back, ``lists`` rows.
+    """
+    dims = sample.shape[1]
+    most = REGION_ROWS // PER_LIST  # lists of a region
+    regions = coarse(sample, max(2, 4 * lists // most, round(lists**0.5)), seed)
+    share = np.bincount(_nearest(sample, regions), minlength=len(regions)) / len(sample)
+    quota = np.maximum(1, np.minimum(most, np.round(lists * share))).astype(np.int64)
+    rate = np.minimum(1.0, quota * PER_LIST / np.maximum(1.0, share * rows))
+    shared = good.sparkSession.sparkContext.broadcast((regions, quota, rate))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regions, quota, rate = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1), dims)
+            at = _nearest(x, regions)
+            keep = np.flatnonzero(_hashed(batch.column(0).to_pylist(), 3) / 2.0**64 < rate[at])
+            yield pa.RecordBatch.from_arrays([pa.array(at[keep], pa.int64()), pa.array([x[i].tobytes() for i in keep], pa.binary())], names=["region", "vector"])
+
+    def fit_region(rows: pa.Table) -> pa.Table:
+        region = int(rows["region"][0].as_py())
+        x = _floats(rows["vector"], dims)
+        found = kmeans(x, int(max(1, min(shared.value[1][region], len(x) // 2 or 1))), 8, np.random.default_rng(seed + region), True)
+        return pa.table({"region": pa.array([region] * len(found), pa.int64()), "vector": pa.array([v.tobytes() for v in found], pa.binary())})
+
+    fitted = good.mapInArrow(route, "region long, vector binary").groupBy("region").applyInArrow(fit_region, "region long, vector binary")
+    return _floats(fitted.orderBy("region").toArrow()["vector"], dims).copy()
+
+
+def fit(sample: np.ndarray, rows: int, queries: int, probes: int = PROBES, seed: int = 7, centroids: np.ndarray | None = None) -> Index:
     """An index for ``rows`` vectors and ``queries`` queries like those of the sample."""
     rng = np.random.default_rng(seed)
-    lists = int(max(1, min(MAX_LISTS, len(sample) // 8 or 1, round(rows**0.5))))
-    centroids = kmeans(sample, lists, 8, rng, True)
+    centroids = coarse(sample, lists_for(rows), seed) if centroids is None else centroids
     at = _nearest(sample, centroids)
-    groups = max(1, lists // 8)
+    groups = int(max(1, min(len(centroids), round(rows / VECTOR_BLOCK))))
     middle = kmeans(centroids, groups, 8, rng, True)
     group = _nearest(centroids, middle)
     left = _slices((sample - centroids[at])[:SAMPLE])
     books = np.stack([kmeans(left[:, m], CODES, 6, rng, False) for m in range(left.shape[1])])
     share = np.bincount(group[at], minlength=groups) / len(sample)
     visits = np.zeros(groups)
-    for i in range(0, len(sample), 4096):
-        near = np.argsort(-(sample[i : i + 4096] @ centroids.T), axis=1)[:, :probes]
+    for i in range(0, len(sample), 1024):
+        near = np.argsort(-(sample[i : i + 1024] @ centroids.T), axis=1)[:, :probes]
         for g in (np.unique(row) for row in group[near]):
             visits[g] += 1
     blocks = lambda expected, size: np.maximum(1, np.ceil(expected / size)).astype(np.int64)
-    return Index(sample.shape[1], centroids, group, books, blocks(share * rows, VECTOR_BLOCK), blocks(visits / len(sample) * queries, QUERY_BLOCK))
+    return Index(sample.shape[1], centroids, group, books, blocks(share * rows, 2 * VECTOR_BLOCK), blocks(visits / len(sample) * queries, QUERY_BLOCK))
+
+
+def _floats(column, dims: int) -> np.ndarray:
+    """Rows of a binary column of equal lengths, without a copy where Arrow holds one buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+    begin, data = (np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0), column.buffers()[2]
+    return np.frombuffer(data, np.float32, len(column) * dims, begin).reshape(-1, dims) if len(column) else np.zeros((0, dims), np.float32)
 
 
 def _cell(group: int, vector_block: int, query_block: int) -> int:
@@ -194,6 +255,12 @@ def _query_batches(shared, probes: int):
     return run
 
 
+def _once(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows without the repetitions of an id with the same vector."""
+    mixed = x.view(np.uint32).astype(np.uint64) @ np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64)
+    return np.flatnonzero(~pd.DataFrame({"n": names, "h": mixed}).duplicated().to_numpy())
+
+
 def _search_cell(shared, k: int, rerank: int):
     schema = pa.schema([("query_id", pa.string()), ("chunk_id", pa.string()), ("similarity", pa.float64())])
 
@@ -201,22 +268,23 @@ def _search_cell(shared, k: int, rerank: int):
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
         index = Index(**shared.value)
-        names = vectors["chunk_id"].to_numpy()
-        blobs = vectors["vector"].to_pylist()
-        # a repeated row lies in the same cell as its first, hence counts once
-        keep = np.flatnonzero(~pd.DataFrame({"n": names, "h": [hash(b) for b in blobs]}).duplicated().to_numpy())
-        names = names[keep]
-        x = np.frombuffer(b"".join(blobs[i] for i in keep), np.float32).reshape(len(keep), index.dims)
-        all_codes = vectors["codes"].to_pylist()
-        codes = np.frombuffer(b"".join(all_codes[i] for i in keep), np.uint8).reshape(len(keep), -1)
-        lists = vectors["list"].to_numpy()[keep]
-        # so does a repeated query
-        once = pa.array(np.flatnonzero(~pd.Series(queries["query_id"].to_numpy()).duplicated().to_numpy()))
-        queries = queries.take(once)
-        q_names = queries["query_id"].to_numpy()
-        q = np.frombuffer(b"".join(queries["vector"].to_pylist()), np.float32).reshape(-1, index.dims)
+        names, x = vectors["chunk_id"].to_numpy(), _floats(vectors["vector"], index.dims)
+        width = len(index.books)
+        codes = np.frombuffer(b"".join(vectors["codes"].to_pylist()), np.uint8).reshape(-1, width)
+        # a repeated row lies in the same cell as its first, hence counts once; so does a repeated query
+        keep = _once(names, x)
+        lists = vectors["list"].to_numpy()
+        if len(keep) < len(names):
+            names, x, codes, lists = names[keep], x[keep], codes[keep], lists[keep]
+        q_names, q = queries["query_id"].to_numpy(), _floats(queries["vector"], index.dims)
+        once = _once(q_names, q)
+        if len(once) < len(q_names):
+            queries, q_names, q = queries.take(pa.array(once)), q_names[once], q[once]
         visited = queries["lists"].combine_chunks()
         visit_list, visit_query = visited.values.to_numpy(), np.repeat(np.arange(len(q)), np.diff(visited.offsets.to_numpy()))
+        several = len(pd.unique(names)) < len(names) or len(pd.unique(q_names)) < len(q_names)
+        firsts = pd.unique(q_names) if several else q_names
+        most = k if not several else k * max(1, int(pd.Series(names).value_counts().iloc[0]))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for one in np.unique(lists):
             members = np.flatnonzero(lists == one)
@@ -225,7 +293,7 @@ def _search_cell(shared, k: int, rerank: int):
                 continue
             held = x[members]
             mine = np.ascontiguousarray(codes[members].T).astype(np.intp)
-            depth = min(len(members), max(rerank, k + 1))
+            depth = min(len(members), max(rerank, most + 1))
             for i in range(0, len(asking), 128):
                 who = asking[i : i + 128]
                 ask = q[who]
@@ -241,7 +309,7 @@ def _search_cell(shared, k: int, rerank: int):
                     best = np.broadcast_to(np.arange(len(members)), (len(who), len(members)))
                     exact = ask @ held.T
                 exact = np.where(names[members[best]] == q_names[who][:, None], -2.0, exact)
-                top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+                top = np.argsort(-exact, axis=1, kind="stable")[:, :most]
                 s = np.take_along_axis(exact, top, 1)
                 rows = np.repeat(who, top.shape[1])
                 at = members[np.take_along_axis(best, top, 1)].ravel()
@@ -252,10 +320,16 @@ def _search_cell(shared, k: int, rerank: int):
         rows, at, s = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((-s, rows))
         rows, at, s = rows[order], at[order], s[order]
+        if several:  # of an id with several vectors the nearest counts, on either side
+            asks = pd.factorize(q_names)[0][rows]
+            fresh = ~pd.DataFrame({"q": asks, "n": names[at], "s": -s}).sort_values(["q", "s"], kind="stable").drop_duplicates(["q", "n"]).index.to_series().reindex(range(len(rows))).isna().to_numpy()
+            rows, at, s = asks[fresh], at[fresh], s[fresh]
+            order = np.lexsort((-s, rows))
+            rows, at, s = rows[order], at[order], s[order]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
         ok = place < k
-        return pa.table({"query_id": pa.array(q_names[rows[ok]], pa.string()), "chunk_id": pa.array(names[at[ok]], pa.string()), "similarity": pa.array(s[ok].astype(np.float64))}, schema=schema)
+        return pa.table({"query_id": pa.array(firsts[rows[ok]], pa.string()), "chunk_id": pa.array(names[at[ok]], pa.string()), "similarity": pa.array(s[ok].astype(np.float64))}, schema=schema)
 
     return run
 
@@ -266,8 +340,9 @@ def nearest(vectors: DataFrame, dims: int, ids: DataFrame | None = None, k: int
     ``vectors`` has ``chunk_id, embedding`` of one space; ``ids`` the
     ``chunk_id`` of the queries (default: all).  A chunk is never its own
     neighbour, a repeated row counts once, ids without a usable vector have no
-    rows, fewer than k others give fewer rows, no vectors give none.  Equal
-    similarities come in order of id.
+    rows, fewer than k others give fewer rows, no vectors give none.  Of an id
+    with several vectors the nearest counts, as a query and as a neighbour.
+    Equal similarities come in order of id.
     """
     spark = vectors.sparkSession
     good = usable(vectors, dims)
@@ -285,7 +360,9 @@ def nearest(vectors: DataFrame, dims: int, ids: DataFrame | None = None, k: int
         wanted = ids.select("chunk_id").distinct()
         queries = wanted.count()
         asked = good.join(F.broadcast(wanted) if queries <= BROADCAST_IDS else wanted, "chunk_id", "left_semi")
-    shared = spark.sparkContext.broadcast(vars(fit(x, rows, queries, probes)))  # plain arrays: executors need no class of ours
+    lists = lists_for(rows)
+    centroids = refined(good, rows, x, lists) if lists > len(x) // PER_LIST and every > 1 else None
+    shared = spark.sparkContext.broadcast(vars(fit(x, rows, queries, probes, centroids=centroids)))  # plain arrays: executors need no class of ours
     indexed = good.mapInArrow(_index_batches(shared), VECTORS)
     routed = asked.mapInArrow(_query_batches(shared, probes), QUERIES)
     near = indexed.groupBy("cell").cogroup(routed.groupBy("cell")).applyInArrow(_search_cell(shared, k, rerank), NEAR)

@@ -69,3 +69,26 @@ def test_exact_answers_every_id(spark):
     df = frame(spark, rng.normal(size=(5200, 4)).astype(np.float32)).select("chunk_id", "embedding")
     got = ann.exact(df, 4, df.select("chunk_id"), k=1).select("query_id").distinct().count()
     assert got == 5200
+
+
+def test_lists_beyond_the_sample_are_fitted_on_executors(spark, monkeypatch):
+    """More lists than an eighth of the sample: recall holds, and the lists follow the number of vectors."""
+    x = clustered(np.random.default_rng(4), 4000, 16, 60)
+    df = frame(spark, x)
+    seen, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **more: seen.append(fit(*a, **more)) or seen[-1])
+    ids = df.where("cell % 20 = 0").select("chunk_id")
+    a = {(r.query_id, r.chunk_id) for r in ann.nearest(df, 16, ids, k=5, probes=12, sample=300).collect()}
+    b = {(r.query_id, r.chunk_id) for r in ann.exact(df, 16, ids, k=5).collect()}
+    assert len(seen[0].centroids) > 40 and ann.lists_for(4000) == 63
+    assert len(a) == len(b) and len(a & b) >= 0.9 * len(b)
+
+
+def test_several_vectors_of_an_id(spark):
+    rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [1.0, 0.1]), ("b", [1.0, 0.2]), ("b", [1.0, 0.3]), ("c", [0.1, 1.0]), ("d", [-1.0, 0.5])]
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, 2, k=2).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, round(r.similarity, 3)))
+    assert got["a"] == [("b", 0.995), ("c", 0.995)]
+    assert [n for n, _ in got["b"]] == ["a", "c"] and [n for n, _ in got["c"]] == ["a", "b"]
