@@ -366,7 +366,8 @@ def nearest(vectors: DataFrame, dims: int, ids: DataFrame | None = None, k: int
     indexed = good.mapInArrow(_index_batches(shared), VECTORS)
     routed = asked.mapInArrow(_query_batches(shared, probes), QUERIES)
     near = indexed.groupBy("cell").cogroup(routed.groupBy("cell")).applyInArrow(_search_cell(shared, k, rerank), NEAR)
-    best = near.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
+    # one shuffle serves both the best of a pair and the best of a query
+    best = near.repartition("query_id").groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -4,14 +4,15 @@ Only lengths decide which texts share a batch, and there are at most
 ``capacity`` different lengths, whatever the number of texts.  So the plan is
 made on the table of lengths with their counts: big lengths open a bin, and as
 soon as what is left can be filled exactly by one, two or three further
-lengths (found by hashing their sums), that combination is used as often as
-the counts allow.  What fits nowhere exactly goes, best fit first, to the
+lengths, found in a hash index of their sums, that combination is used as
+often as the counts allow.  What fits nowhere exactly goes, best fit first, to the
 fullest bins that can take it.  Texts are then numbered within their length,
 and the number alone tells the batch.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,46 +38,53 @@ class Bins:
 
 
 class _Complements:
-    """Combinations of one, two or three available lengths for an exact sum."""
+    """An index of the sums of one, two and three available lengths.
+
+    ``pairs`` maps a sum to the larger members of the pairs that make it, the
+    most unequal last, and is filled on the first question for that sum.  A
+    pair at the end is dropped for good once one of its lengths is used up, as
+    counts only fall.  At most ``capacity``² / 4 members of four bytes.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts  # by length; changes as lengths are used up
+        self.counts = counts  # by length; falls as lengths are used up
+        self.lengths = np.flatnonzero(counts)  # in order; those used up are dropped now and then
+        self.pairs: dict[int, array] = {}
 
     def find(self, gap: int, taken: dict[int, int]) -> tuple[int, ...] | None:
-        left = self.counts.copy()
-        for length, n in taken.items():
-            left[length] -= n
-        if gap < len(left) and left[gap] > 0:
+        """Lengths that add up to ``gap``, beside those a bin has taken already."""
+        left = lambda x: self.counts[x] - taken.get(x, 0)
+        if gap < len(self.counts) and left(gap) > 0:
             return (gap,)
-        pair = self._pair(gap, left)
-        if pair:
+        if pair := self._pair(gap, left):
             return pair
-        # triple: the largest member first, so that long lengths go early
-        for a in np.flatnonzero(left[: gap - 1] > 0)[::-1]:
+        # the largest member first, so that long lengths go early
+        top = int(np.searchsorted(self.lengths, gap - 1))
+        for a in self.lengths[:top][::-1].tolist():
             if 3 * a < gap:
                 break
-            left[a] -= 1
-            pair = self._pair(gap - int(a), left)
-            left[a] += 1
-            if pair:
-                return (int(a), *pair)
+            if left(a) > 0 and (pair := self._pair(gap - a, lambda x, a=a: left(x) - (x == a))):
+                return (a, *pair)
         return None
 
-    @staticmethod
-    def _pair(gap: int, left: np.ndarray) -> tuple[int, int] | None:
-        top = min(gap - 1, len(left) - 1)
-        low = gap - top
-        if gap < 2 or low > top:
+    def _pair(self, gap: int, left) -> tuple[int, int] | None:
+        if gap < 2:
             return None
-        have = left[low : top + 1] > 0
-        both = have & have[::-1]
-        if gap % 2 == 0 and low <= gap // 2 <= top and left[gap // 2] < 2:
-            both[gap // 2 - low] = False
-        at = np.flatnonzero(both)
-        if not len(at):
-            return None
-        a = low + int(at[-1])  # the most unequal pair uses up long lengths first
-        return (a, gap - a)
+        if gap not in self.pairs:
+            mine = self.lengths[(self.lengths < gap) & (2 * self.lengths >= gap)]
+            other = gap - mine
+            self.pairs[gap] = array("i", mine[self.counts[other] > 0].astype(np.int32).tobytes())
+        held = self.pairs[gap]
+        while held and not (self.counts[held[-1]] and self.counts[gap - held[-1]]):
+            held.pop()
+        for a in reversed(held):
+            b = gap - a
+            if left(a) > (a == b) and left(b) > 0:
+                return (a, b)
+        return None
+
+    def drop_empty(self) -> None:
+        self.lengths = self.lengths[self.counts[self.lengths] > 0]
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Bins]:
@@ -108,6 +116,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[Bins]:
         times = min(int(left[length]) // n for length, n in content.items())
         for length, n in content.items():
             left[length] -= n * times
+        finder.drop_empty()
         (spare if room else bins).append(Bins(content, times, room))
     return bins + _best_fit(spare, capacity)
 
@@ -164,19 +173,28 @@ def intervals(bins: list[Bins], capacity: int) -> tuple[np.ndarray, np.ndarray,
     return columns[:, 0], columns[:, 1], columns[:, 2]
 
 
-_PARTS = T.StructType([T.StructField("text", T.StringType()), T.StructField("piece", T.IntegerType()), T.StructField("pieces", T.IntegerType()), T.StructField("part", T.StringType())])
+_PARTS = T.StructType([T.StructField("text_hash", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("pieces", T.IntegerType()), T.StructField("part", T.StringType())])
+
+
+#: Characters of pieces that leave a task at a time.
+CUT_CHARS = 4_000_000
 
 
 def _cut(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=_PARTS.names)
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
+            rows, held = [], 0
+            for hashed, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = split_text(text, capacity)
-                rows += [(text, i, len(found), text[p.start : p.end]) for i, p in enumerate(found)]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_PARTS.names)
+                for i, p in enumerate(found):
+                    rows.append((hashed, i, len(found), text[p.start : p.end]))
+                    held += p.end - p.start
+                    if held > CUT_CHARS:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            yield batch_of(rows)
 
     return run
 
@@ -193,9 +211,11 @@ def pack(items: DataFrame, text: Column, capacity: int = 4000, bucket_rows: int
     texts share is spread over many tasks.
     """
     texts = items.select(text.alias("text")).where(~is_blank(F.col("text"))).distinct()
-    whole = texts.where(F.length("text") <= capacity).select("text", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.col("text").alias("part"))
-    over = texts.where(F.length("text") > capacity).mapInArrow(_cut(capacity), _PARTS)
-    parts = whole.unionByName(over).select(F.xxhash64("text").alias("text_hash"), "piece", "pieces", F.length("part").alias("n_chars"), F.col("part").alias("text"))
+    # hashed before they are cut: a piece never carries the whole text
+    hashed = texts.select(F.xxhash64("text").alias("text_hash"), "text")
+    whole = hashed.where(F.length("text") <= capacity).select("text_hash", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.col("text").alias("part"))
+    over = hashed.where(F.length("text") > capacity).mapInArrow(_cut(capacity), _PARTS)
+    parts = whole.unionByName(over).select("text_hash", "piece", "pieces", F.length("part").alias("n_chars"), F.col("part").alias("text"))
     parts = staged(parts, "pack-parts")
     counts = {r["n_chars"]: r["n"] for r in parts.groupBy("n_chars").agg(F.count("*").alias("n")).collect()}
     buckets = max(1, -(-sum(counts.values()) // bucket_rows))

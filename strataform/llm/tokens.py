@@ -152,15 +152,17 @@ def piece_list(name: str = BYTE_BPE, folder: str = TOKENIZERS) -> list[bytes]:
 
 
 def decode(encoded: DataFrame, name: str = BYTE_BPE, folder: str = TOKENIZERS) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; an empty or null list gives an empty text.
+    """``doc_id, text`` from ``doc_id, ids``, a row for each; an empty or null list gives an empty text.
 
     The piece table has one row a vocabulary entry (50,256), which bounds the
     broadcast; bytes are put together before they are read as UTF-8, since a
     character may be spread over several ids.
     """
     table = pieces(encoded.sparkSession, name, folder).select("id", F.hex("piece").alias("piece"))
-    rows = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id"))
+    # rows are told apart by number, not by doc_id, which may be null or repeated; written once, as the numbers hold for one run only
+    numbered = staged(encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"), "token-rows")
+    rows = numbered.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id"))
     joined = rows.join(F.broadcast(table), "id", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece"))))
     text = F.decode(F.unhex(F.array_join(F.transform(ordered, lambda x: x["piece"]), "")), "UTF-8")
-    return joined.groupBy("doc_id").agg(text.alias("text"))
+    return joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), text.alias("text")).drop("row")

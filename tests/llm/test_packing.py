@@ -1,11 +1,13 @@
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataform.llm.packing import pack, plan
+from strataform.llm.packing import _Complements, _cut, pack, plan
 
 
 @settings(max_examples=150, deadline=None)
@@ -29,6 +31,41 @@ def test_exact_complements_leave_nothing():
     assert sum(b.count for b in bins) == 9 and all(b.room == 0 for b in bins)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=40), st.integers(2, 60), st.lists(st.integers(1, 60), max_size=3))
+def test_complements_equal_brute_force(lengths, gap, used):
+    """A combination is found exactly if there is one, and only from what is left."""
+    counts = np.zeros(61, np.int64)
+    for x in lengths:
+        counts[x] += 1
+    taken = {x: n for x, n in Counter(used).items() if counts[x] >= n}
+    left = Counter({x: int(counts[x]) - taken.get(x, 0) for x in range(1, 61) if counts[x] > taken.get(x, 0)})
+    items = sorted(left.elements())
+    there = any(sum(c) == gap for n in (1, 2, 3) for c in combinations(items, n))
+    got = _Complements(counts).find(gap, taken)
+    assert (got is not None) == there
+    assert not got or (sum(got) == gap and not Counter(got) - left)
+
+
+def test_complements_follow_falling_counts():
+    counts = np.zeros(41, np.int64)
+    counts[[10, 30, 25, 15]] = 1, 1, 2, 2
+    index = _Complements(counts)
+    assert index.find(40, {}) == (30, 10)
+    counts[30] = 0
+    assert index.find(40, {}) == (25, 15)
+    counts[15] = 0
+    index.drop_empty()
+    assert index.find(40, {}) is None
+
+
+def test_pieces_do_not_carry_the_text():
+    text = "word " * 200_000
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([text])], names=["text_hash", "text"])
+    out = list(_cut(4000)(iter([batch])))
+    assert sum(b.nbytes for b in out) < 1.2 * len(text) and "".join(x for b in out for x in b.column(3).to_pylist()) == text
+
+
 def test_many_items_fill_well():
     rng = np.random.default_rng(1)
     lengths = np.minimum(1300, rng.gamma(2, 250, 20000).astype(int) + 1)

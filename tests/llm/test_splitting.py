@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strataform.llm import splitting
 from strataform.llm.splitting import cut_kinds, split_oversized, split_text
 
 BLANK_OR_MARK = set(".!?。！？")
@@ -71,3 +72,19 @@ def test_rows(spark):
     assert kinds == {("a", "forced"), (None, "natural")}
     assert pieces.where("record_id = 'a'").select("text_hash").distinct().count() == 2
     assert split_oversized(df.limit(0), F.col("id"), F.col("text"), "doc", 20, 5).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab .\n", min_size=1, max_size=120), st.integers(1, 12), st.integers(0, 11))
+def test_pieces_are_added_until_every_limit_holds(text, limit, overlap):
+    pieces = splitting.split_text(text, limit, min(overlap, limit - 1))
+    assert all(0 < p.end - p.start <= limit for p in pieces)
+    assert "".join(text[p.start + p.overlap : p.end] for p in pieces) == text
+
+
+def test_many_tries():
+    """A text whose first hundreds of piece counts all fail: long runs between short words."""
+    text = ("a " * 30 + "b" * 97 + " ") * 40
+    pieces = splitting.split_text(text, 100, 40)
+    assert max(p.end - p.start for p in pieces) <= 100 and "".join(text[p.start + p.overlap : p.end] for p in pieces) == text
+    assert not any(p.cut == splitting.HARD for p in pieces[:-1])

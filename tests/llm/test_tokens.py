@@ -25,6 +25,12 @@ def test_round_trip(spark, docs):
     assert back == {i: x or "" for i, x in enumerate(TEXTS)}
 
 
+def test_repeated_and_null_ids_are_decoded_apart(spark):
+    rows = spark.createDataFrame([(1, "budget sheet"), (1, "budget sheet"), (None, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in tokens.decode(tokens.encode(rows)).collect())
+    assert got == [(0, "a b"), (0, "c"), (1, "budget sheet"), (1, "budget sheet"), (2, "")]
+
+
 def test_empty_and_repeated(spark, docs):
     assert tokens.encode(docs.limit(0)).count() == 0
     assert tokens.encode(docs.where("doc_id = 3").union(docs.where("doc_id = 3"))).count() == 2
