@@ -23,10 +23,18 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)\S")
 
 
-#: The white space characters of the ECMAScript language.
+#: The white space characters of the ECMAScript language, and the rules of titles and sentences made with them.  Both
+#: Spark's expressions and the chunker's plain functions use these very patterns.
 WHITE = "\t\n\v\f\r                  　﻿"
 
 
+LINK = r"\[([^\]]*)\]\([^)]*\)"
+EMPHASIS = r"[*_`]"
+CLOSING_MARKS = rf"[{WHITE}]+#+[{WHITE}]*$"
+AFTER_STOP = rf"(?<=[.!?])[{WHITE}]+"
+EDGES = rf"^[{WHITE}]+|[{WHITE}]+$"
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x{FEFF}]+", " "))
@@ -40,13 +48,13 @@ def snippet(text: Column, limit: int = 180) -> Column:
 
 def clean_inline(text: Column) -> Column:
     """A heading without links, emphasis and closing marks."""
-    shown = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return trim_all(F.regexp_replace(F.regexp_replace(shown, r"[*_`]", ""), r"(?U)\s+#+\s*$", ""))
+    shown = F.regexp_replace(F.regexp_replace(text, LINK, "$1"), EMPHASIS, "")
+    return F.regexp_replace(F.regexp_replace(shown, CLOSING_MARKS, ""), EDGES, "")
 
 
 def sentences(text: Column) -> Column:
     """A text cut after full stops, exclamation and question marks."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.length(s) > 0)
+    return F.filter(F.split(text, AFTER_STOP), lambda s: F.length(s) > 0)
 
 
 def xml_escape(text: Column) -> Column:

@@ -58,11 +58,21 @@ def fold(counts: list[tuple[int, int]], options: BatchOptions) -> list[tuple[int
 def plan_batches(texts: DataFrame, options: BatchOptions = BatchOptions(), bucket_rows: int = 100_000) -> DataFrame:
     """``idx, batch_id, pos`` for ``idx, text`` (idx unique and not negative), shortest first.
 
-    Null texts count as empty.  The driver sees one row per length.  Numbers
-    within a length are given by index range, so that a length most texts share
-    is spread over many tasks.
+    Null texts count as empty.  The driver sees one row per length, and one
+    boundary for ``bucket_rows`` texts: numbers within a length are given by
+    ranges of the index that hold equally many texts, however sparse it is, so
+    that a length most texts share is spread over many tasks.
     """
-    rows = texts.select("idx", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.floor(F.col("idx") / bucket_rows).alias("bucket"))
+    kind = dict(texts.dtypes)["idx"]
+    lengths = texts.select("idx", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    ranges = max(1, -(-lengths.count() // bucket_rows))
+    cuts = np.array(sorted(set(lengths.agg(F.percentile_approx("idx", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or ())) if ranges > 1 else [], np.int64)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, b.column(0).to_numpy(), side="right"), pa.int64())], names=["idx", "n", "bucket"])
+
+    rows = lengths.mapInArrow(ranged, f"idx {kind}, n int, bucket long")
     sizes = rows.groupBy("n", "bucket").agg(F.count("*").alias("c"))
     before = F.sum("c").over(Window.partitionBy("n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("n", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
@@ -79,7 +89,7 @@ def plan_batches(texts: DataFrame, options: BatchOptions = BatchOptions(), bucke
             ahead = r - row[:, 1]
             yield pa.RecordBatch.from_arrays([b.column("idx"), pa.array(row[:, 2] + ahead // row[:, 3]), pa.array(row[:, 4] + ahead % row[:, 3])], names=["idx", "batch_id", "pos"])
 
-    return numbered.mapInArrow(assign, f"idx {dict(texts.dtypes)['idx']}, batch_id long, pos long")
+    return numbered.mapInArrow(assign, f"idx {kind}, batch_id long, pos long")
 
 
 def plan_list(lengths: list[int], options: BatchOptions = BatchOptions(), sort: bool = True) -> list[list[int]]:

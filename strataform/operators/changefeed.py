@@ -9,7 +9,8 @@ The feed is applied by embedded DuckDB engines, one per bucket, in two levels:
    what the splits handed on.
 
 The upsert is a conditional conflict update: a stored row is replaced only by
-a change of a higher sequence.  It is therefore idempotent and commutative,
+a change that stands later in the full order of changes (sequence, receipt,
+content), the same within a batch and between batches.  It is therefore idempotent and commutative,
 and repeated, late or out-of-order rows cannot change the result.  Removals
 stay as tombstones, so that an old write arriving after a removal loses.  All
 bucket results become visible together when the version is published.
@@ -17,6 +18,8 @@ bucket results become visible together when the version is published.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -25,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.sources.versions import VersionedTable
-from strataform.workspace import partitions, run_dir
+from strataform.sources.versions import BUCKET_ROWS, VersionedTable, bucket_of, buckets_for
+from strataform.workspace import discard, run_dir, staged
 
 DOCUMENT_MIME = "application/vnd.google-apps.document"
 FIELDS = ("id", "name", "mime_type", "modified_time", "trashed")
@@ -76,30 +79,45 @@ def effective(changes: DataFrame, mime: str = DOCUMENT_MIME) -> DataFrame:
 _COLUMNS = ", ".join(f.name for f in STATE.fields)
 _CREATE = """create table state (file_id varchar primary key, seq bigint, received bigint, tombstone boolean,
     id varchar, name varchar, mime_type varchar, modified_time varchar, trashed boolean)"""
+
+
+def _order(side: str) -> str:
+    """The full order of changes: of one sequence the later received counts, then the content, so that no two rows tie unless they are equal."""
+    texts = ("name", "id", "mime_type", "modified_time")
+    return f"row({side}.seq, {side}.received, {side}.tombstone, " + ", ".join(f"coalesce({side}.{c}, '')" for c in texts) + f", coalesce({side}.trashed, false))"
+
+
 _UPSERT = f"""
 insert into state
 select {_COLUMNS} from incoming
-qualify row_number() over (partition by file_id order by seq desc, received desc, tombstone desc, name) = 1
+qualify row_number() over (partition by file_id order by {_order("incoming")} desc) = 1
 on conflict (file_id) do update set {", ".join(f"{f.name} = excluded.{f.name}" for f in STATE.fields[1:])}
-where excluded.seq > state.seq or (excluded.seq = state.seq and excluded.received > state.received)
+where {_order("excluded")} > {_order("state")}
 """
+#: Memory of an engine; beyond, it spills to a folder of its task, which goes with the task.
+ENGINE_MEMORY = "512MB"
 
 
 def upsert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Apply batches of changes to an embedded table; yield its rows, tombstones too."""
     import duckdb
+    from pyspark import SparkFiles
 
-    con = duckdb.connect(":memory:", config={"threads": "1", "temp_directory": "", "memory_limit": "768MB"})
+    # scratch of this task only, in Spark's own local folder: nothing in it is ever read by another task
+    scratch = tempfile.mkdtemp(prefix="upsert-", dir=SparkFiles.getRootDirectory())
+    con = duckdb.connect(":memory:", config={"threads": "1", "temp_directory": scratch, "memory_limit": ENGINE_MEMORY})
     try:
         con.execute(_CREATE)
         for group in _gathered(batches):
             con.register("incoming", group)
             con.execute(_UPSERT)
             con.unregister("incoming")
-        result = con.sql(f"select {_COLUMNS} from state").to_arrow_table()
-        yield from result.cast(_arrow_schema()).to_batches(max_chunksize=20_000)
+        result = con.sql(f"select {_COLUMNS} from state").to_arrow_reader(20_000)
+        for batch in result:
+            yield pa.Table.from_batches([batch]).cast(_arrow_schema()).combine_chunks().to_batches()[0] if batch.num_rows else pa.RecordBatch.from_pylist([], _arrow_schema())
     finally:
         con.close()
+        shutil.rmtree(scratch, ignore_errors=True)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
@@ -121,13 +139,6 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in STATE.fields])
 
 
-def upserted(rows: DataFrame, buckets: int | None = None) -> DataFrame:
-    """The newest change of each file, by the two-level embedded upsert."""
-    n = buckets or partitions(rows.sparkSession)
-    local = rows.mapInArrow(upsert_batches, STATE)
-    return local.repartition(n, "file_id").mapInArrow(upsert_batches, STATE)
-
-
 def apply_changes(
     changes: DataFrame, target: VersionedTable | None = None, buckets: int | None = None, mime: str = DOCUMENT_MIME
 ) -> VersionedTable:
@@ -137,14 +148,27 @@ def apply_changes(
     columns are ignored.  The stored rows, tombstones included, go through the
     same upsert as the new ones, so applying a feed again, in parts, or in any
     order gives the same table.  An empty feed publishes an unchanged version.
+
+    Only buckets with a changed file are read and written.  Their number
+    follows the number of files, so that an engine's table stays small.
     """
     spark = changes.sparkSession
     target = target or VersionedTable(spark, f"{run_dir(spark)}/files-{uuid.uuid4().hex[:10]}")
     base = target.current()
-    rows = effective(changes, mime)
-    if base:
-        rows = rows.unionByName(target.read(version=base, schema=STATE))
-    target.publish({"data": target.write(upserted(rows, buckets))}, expected=base)
+    held = target.bucketed(version=base) if base else None
+    local = staged(effective(changes, mime).mapInArrow(upsert_batches, STATE), "feed-local")  # a row per file and split
+    n = buckets or (held["buckets"] if held else buckets_for(local.count()))
+    stored = held["rows"] if held else 0
+    if held and (n != held["buckets"] or stored > 2 * BUCKET_ROWS * n):  # grown: all rows are hashed anew
+        n = n if n != held["buckets"] else buckets_for(stored)
+        rows, held, touched = local.unionByName(target.read(version=base, schema=STATE)), None, list(range(n))
+    else:
+        touched = [r["b"] for r in local.select(bucket_of(F.col("file_id"), n).alias("b")).distinct().collect()]  # n numbers at most
+        rows = local.unionByName(target.read_buckets(touched, version=base)) if held else local
+    newest = rows.repartition(max(1, len(touched)), bucket_of(F.col("file_id"), n)).mapInArrow(upsert_batches, STATE)
+    part = target.rewrite(newest, "file_id", touched, n, held)
+    target.publish({"data": part | {"rows": stored + local.count()}}, expected=base)  # an upper bound of the rows
+    discard(local)
     return target
 
 

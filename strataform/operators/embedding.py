@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.operators.batching import BatchOptions, plan_list
+from strataform.operators.exporting import ATTEMPTS, with_retries
 from strataform.workspace import spread
 
 
@@ -87,6 +89,56 @@ class Embedder:
         return spread(rows, heavy=True).mapInArrow(run, schema)
 
 
+#: Fixed value: texts of one request to a remote model.
+REMOTE_SLICE = 12
+
+
+def response_fault(response: dict, space: EmbeddingSpace, texts: int) -> str | None:
+    """What is wrong with an answer; the same rules as :func:`response_error`."""
+    if not isinstance(response, dict) or any(response.get(k) is None for k in ("vectors", "dims", "model")):
+        return "malformed"
+    vectors = response["vectors"]
+    if response["model"] != space.model_id:
+        return "model"
+    if response["dims"] != space.dims:
+        return "dims"
+    if len(vectors) != texts:
+        return "count"
+    return "vector length" if any(v is None or len(v) != space.dims for v in vectors) else None
+
+
+def remote(space: EmbeddingSpace, call: Callable[[list[str]], dict], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], np.ndarray]:
+    """A function for an :class:`Embedder` that asks a service, ``REMOTE_SLICE`` texts at a time.
+
+    ``call`` takes texts and gives ``{"vectors", "dims", "model"}``, or raises
+    ``Refused``; passing refusals are tried again after the delay the service
+    asks for.  An answer that fails its checks raises ``ValueError``.
+    """
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), space.dims), np.float32)
+        for i in range(0, len(texts), REMOTE_SLICE):
+            part = texts[i : i + REMOTE_SLICE]
+            got = with_retries(lambda part=part: call(part), attempts=attempts, sleep=sleep)
+            if fault := response_fault(got, space, len(part)):
+                raise ValueError(f"answer of {space.model_id}: {fault}")
+            out[i : i + len(part)] = got["vectors"]
+        return out
+
+    return run
+
+
+#: The spaces known here by model id.
+SPACES = {HASHED.model_id: HASHED}
+
+
+def space_for(model_id: str, spaces: dict[str, EmbeddingSpace] = SPACES) -> EmbeddingSpace:
+    """The space of a model; an unknown model is an error, as its vectors compare with nothing."""
+    if model_id not in spaces:
+        raise ValueError(f"unknown model {model_id}")
+    return spaces[model_id]
+
+
 def response_error(response: Column, space: EmbeddingSpace, texts: Column) -> Column:
     """What is wrong with an answer ``struct<vectors, dims, model>``; null if nothing is."""
     v = response["vectors"]

@@ -20,12 +20,19 @@ from pyspark.sql import functions as F
 
 from strataform.functions.text import tokens
 from strataform.operators.vectors import top
-from strataform.workspace import spread
+from strataform.workspace import spread, staged
 
 SEPARATOR = " › "
+#: Weights of the fields.
 BOOSTS = {"title": 3.0, "breadcrumbs": 2.0, "text": 1.0}
 
 
+#: Up to so many reached terms are named in the filter that reaches the files; beyond, a join picks the postings.
+NAMED_TERMS = 2000
+#: Weights (query, term, field; about 60 bytes) that are broadcast to the postings; more are joined by a shuffle.
+BROADCAST_WEIGHTS = 100_000
+
+
 @dataclass(frozen=True)
 class Scoring:
     boosts: dict[str, float] = field(default_factory=lambda: dict(BOOSTS))
@@ -61,11 +68,38 @@ def statistics(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "bre
     return stacked.groupBy("field").agg(n.alias("n"), (F.sum(F.coalesce(F.size(tokens(F.col("body"))), F.lit(0))) / n).alias("avglen"))
 
 
+@dataclass
+class LexicalIndex:
+    """Written tables: postings in order of their terms, the vocabulary with document counts, and statistics."""
+
+    postings: DataFrame  # term, field, chunk_id, tf, len
+    vocabulary: DataFrame  # term, field, df
+    statistics: DataFrame
+
+
+def build(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "breadcrumbs")) -> LexicalIndex:
+    """An index written once: searches read only what their terms need.
+
+    Postings are ranged by term and chunk, so that a file holds few terms, its
+    column statistics let a filter on terms skip it, and a term most chunks
+    hold fills several files.
+    """
+    ranged = postings(docs, fields).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    posted = staged(ranged, "postings")
+    return LexicalIndex(posted, staged(posted.groupBy("term", "field").agg(F.count("*").alias("df")), "vocabulary"), staged(statistics(docs, fields), "statistics"))
+
+
 def remove_documents(posted: DataFrame, ids: DataFrame) -> DataFrame:
     """Postings without some chunks; absent ids change nothing."""
     return posted.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
+def without(index: LexicalIndex, ids: DataFrame, stats: DataFrame) -> LexicalIndex:
+    """The index without some chunks; ``stats`` are those of the chunks that stay."""
+    posted = remove_documents(index.postings, ids)
+    return LexicalIndex(posted, posted.groupBy("term", "field").agg(F.count("*").alias("df")), stats)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, q`` of the distinct words of each query; a blank one has none."""
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("q")).distinct()
@@ -102,31 +136,34 @@ def _near(wanted: DataFrame, vocabulary: DataFrame, scoring: Scoring) -> DataFra
     return near.where(F.col("d") <= F.col("budget")).select("q", "term", (scoring.fuzzy_weight * F.length("term") / (F.length("term") + F.col("d"))).alias("weight"))
 
 
-def scores(terms: DataFrame, posted: DataFrame, stats: DataFrame, scoring: Scoring = Scoring(), expand: bool = True) -> DataFrame:
+def scores(terms: DataFrame, index: LexicalIndex, scoring: Scoring = Scoring(), expand: bool = True) -> DataFrame:
     """``query_id, chunk_id, score`` of all chunks that hold a reached term."""
     if expand:
-        reached = expansions(terms, posted.select("term").distinct(), scoring)
+        reached = expansions(terms, index.vocabulary.select("term").distinct(), scoring)
     else:
         reached = terms.select("q").distinct().select("q", F.col("q").alias("term"), F.lit(1.0).alias("weight"))
     best = terms.join(reached, "q").groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
-    # only postings of reached terms are counted and scored
-    posted = posted.join(best.select("term").distinct(), "term", "left_semi")
-    counts = posted.groupBy("term", "field").agg(F.count("*").alias("df"))
     boost = F.lit(0.0)
     for name, value in scoring.boosts.items():
         boost = F.when(F.col("field") == name, value).otherwise(boost)
     # stats has one row per field
-    weighted = best.join(counts, "term").join(F.broadcast(stats), "field")
+    weighted = best.join(index.vocabulary, "term").join(F.broadcast(index.statistics), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("query_id", "term", "field", "avglen", (F.col("weight") * boost * idf).alias("factor"))
+    weighted = staged(weighted.select("query_id", "term", "field", "avglen", (F.col("weight") * boost * idf).alias("factor")), "weights")
+    names = [r["term"] for r in weighted.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    if len(names) <= NAMED_TERMS:  # told by a count: then the filter names them, and files without them aren't read
+        posted = index.postings.where(F.col("term").isin(names)) if names else index.postings.limit(0)
+        weighted = F.broadcast(weighted) if weighted.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS else weighted
+    else:
+        posted = index.postings
     tf, k1, b = F.col("tf"), scoring.k1, scoring.b
     gain = scoring.delta + tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
-    return weighted.join(posted, ["term", "field"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("factor") * gain).alias("score"))
+    return posted.join(weighted, ["term", "field"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("factor") * gain).alias("score"))
 
 
-def search(queries: DataFrame, posted: DataFrame, stats: DataFrame, k: int, scoring: Scoring = Scoring(), expand: bool = True) -> DataFrame:
+def search(queries: DataFrame, index: LexicalIndex, k: int, scoring: Scoring = Scoring(), expand: bool = True) -> DataFrame:
     """``query_id, id, score, rank``: the k best chunks of each query (``query_id, text``)."""
-    hits = scores(query_terms(queries), posted, stats, scoring, expand).select("query_id", F.col("chunk_id").alias("id"), "score")
+    hits = scores(query_terms(queries), index, scoring, expand).select("query_id", F.col("chunk_id").alias("id"), "score")
     return top(hits, k, "query_id", F.round("score", 9), F.col("id"))
 
 
@@ -134,4 +171,4 @@ def vocabulary_size(posted: DataFrame) -> DataFrame:
     return posted.agg(F.countDistinct("term").alias("terms"), F.countDistinct("chunk_id").alias("chunks"))
 
 
-__all__ = ["BOOSTS", "Scoring", "expansions", "lexical_documents", "postings", "query_terms", "remove_documents", "scores", "search", "statistics", "vocabulary_size"]
+__all__ = ["BOOSTS", "LexicalIndex", "Scoring", "build", "expansions", "lexical_documents", "postings", "query_terms", "remove_documents", "scores", "search", "statistics", "vocabulary_size"]

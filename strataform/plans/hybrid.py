@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.text import is_blank
-from strataform.operators import fusion, lexical, vectors
+from strataform.operators import fusion, lexical, presentation, vectors
 from strataform.operators.chunking import ChunkOptions, chunk_documents
 from strataform.operators.embedding import Embedder
 from strataform.workspace import staged
@@ -19,19 +19,17 @@ class HybridIndex:
     """Chunks with vectors, postings and statistics; written tables or frames."""
 
     chunks: DataFrame  # chunk_id, doc_id, doc_name, breadcrumbs, text, modified_time, embedding
-    postings: DataFrame
-    statistics: DataFrame
+    words: lexical.LexicalIndex
 
 
 def build_index(docs: DataFrame, embedder: Embedder = Embedder(), options: ChunkOptions = ChunkOptions()) -> HybridIndex:
     """An index of ``doc_id, doc_name, text, modified_time``, written once: nothing is chunked or embedded again per search."""
-    return index_of(staged(embedder.embed(chunk_documents(docs, options)), "chunks"))
+    return index_of(staged(embedder.embed(chunk_documents(docs, options).drop("overlap")), "chunks"))
 
 
 def index_of(chunks: DataFrame) -> HybridIndex:
     """Postings made again from chunks that have their vectors."""
-    docs = lexical.lexical_documents(chunks)
-    return HybridIndex(chunks, staged(lexical.postings(docs), "postings"), staged(lexical.statistics(docs), "statistics"))
+    return HybridIndex(chunks, lexical.build(lexical.lexical_documents(chunks)))
 
 
 class HybridSearcher:
@@ -45,7 +43,7 @@ class HybridSearcher:
 
     def words(self, queries: DataFrame, depth: int) -> DataFrame:
         stated = queries.where(~is_blank(F.col("text"))).select(F.col("query_id").cast("string").alias("query_id"), "text")
-        return lexical.search(stated, self.index.postings, self.index.statistics, depth, self.scoring)
+        return lexical.search(stated, self.index.words, depth, self.scoring)
 
     def fused(self, queries: DataFrame, depth: int, recency: bool = True) -> DataFrame:
         newest = fusion.recency_of(self.index.chunks) if recency else None
@@ -57,6 +55,12 @@ class HybridSearcher:
         chunks = self.index.chunks.select("chunk_id", "doc_id", "doc_name", "breadcrumbs", "text")
         return fusion.document_hits(fusion.best_chunk_per_document(fused, chunks, k))
 
+    def suggestions(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """``query_id, place, url, line``: what an address bar shows for the k best documents of each query."""
+        hits = self.search(queries, k)
+        line = presentation.suggestion(F.col("doc_name"), F.col("breadcrumbs"), F.col("snippet"))
+        return hits.select("query_id", "place", presentation.document_url(F.col("doc_id")).alias("url"), line.alias("line"))
+
     def rankings(self, queries: DataFrame, depth: int = 20) -> DataFrame:
         """``mode, query_id, doc_id, rank`` of the three modes, for evaluation; no recency."""
         chunks = self.index.chunks.select("chunk_id", "doc_id")

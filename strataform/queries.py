@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,20 +12,23 @@ from pyspark.sql.window import Window
 from strataform.functions import hashing, numbers, text
 from strataform.operators import batching, changefeed, evaluation, exporting, fusion, incremental, indexing, lexical, merging, presentation, vectors
 from strataform.operators.chunking import chunk_documents as chunked
-from strataform.operators.embedding import HASHED, Embedder
-from strataform.plans.hybrid import HybridSearcher, build_index
+from strataform.operators.embedding import HASHED, Embedder, EmbeddingSpace, remote
+from strataform.plans.hybrid import HybridIndex, HybridSearcher
 from strataform.sources import catalog, generators
 from strataform.sources.snapshots import SnapshotStore
 from strataform.sources.tables import table
 from strataform.sources.versions import VersionedTable
 from strataform.streaming.debounce import debounce
-from strataform.streaming.sync import intents
+from strataform.streaming.sync import IndexSync, intents
 from strataform.workspace import hadoop, run_dir, staged
 
 #: Stated queries of the lexical searches.
 QUERIES = [(1, "budget sheet"), (2, "warehouse shift rebuild"), (3, "rapport incident"), (4, "Störungsbericht Zahlen"), (5, "meeting notes room")]
+MISTYPED = [(1, "budgt shet"), (2, "invoic templ"), (3, "  "), (4, "retentoin schedule")]
+HYBRID = [(1, "budget sheet"), (2, "warehouse shift rebuild"), (3, "rapport incident"), (4, " "), (5, "meetng notes room")]
 TERMS = ["invoic", "retention", "shedule", "qarterly", "plan", "warehouse"]
-_QUERY_VALUES = ", ".join(f"({i}, '{t}')" for i, t in QUERIES)
+_VALUES = lambda rows: ", ".join(f"({i}, '{t}')" for i, t in rows)
+_QUERY_VALUES = _VALUES(QUERIES)
 _TERM_VALUES = ", ".join(f"('{t}')" for t in TERMS)
 
 
@@ -88,41 +92,62 @@ def int8_recall_at_5(spark, d):
 
 
 def _lexical_docs(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "name", "text")
-    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("name").alias("title"))
+    docs = table(spark, d, "documents", "doc_id", "name", "text", "folder_id")
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("name").alias("title"), F.col("folder_id").alias("breadcrumbs"))
 
 
-_FIELDS = ("text", "title")
+_INDEXES: dict[tuple, object] = {}
 
 
-def _lexical_index(spark, d):
-    """Postings and statistics, written once and read by each part of a search."""
-    docs = _lexical_docs(spark, d)
-    return staged(lexical.postings(docs, _FIELDS), "postings"), staged(lexical.statistics(docs, _FIELDS), "statistics")
+def _stored(spark, d, name, make):
+    """Indexes are written once per application and data folder; every search reads the same tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = make()
+    return _INDEXES[key]
+
+
+def _lexical_index(spark, d) -> lexical.LexicalIndex:
+    return _stored(spark, d, "lexical", lambda: lexical.build(_lexical_docs(spark, d)))
 
 
 def lexical_postings(spark, d):
-    posted = lexical.postings(_lexical_docs(spark, d), _FIELDS)
+    posted = lexical.postings(_lexical_docs(spark, d))
     return posted.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def lexical_statistics(spark, d):
-    return lexical.statistics(_lexical_docs(spark, d), _FIELDS).select("field", "n", F.round("avglen", 6).alias("avglen"))
+    return lexical.statistics(_lexical_docs(spark, d)).select("field", "n", F.round("avglen", 6).alias("avglen"))
 
 
-def lexical_bm25(spark, d):
-    hits = lexical.search(spark.createDataFrame(QUERIES, "query_id int, text string"), *_lexical_index(spark, d), 20, expand=False)
+def _typed(spark, rows):
+    return spark.createDataFrame(rows, "query_id int, text string")
+
+
+def _word_hits(hits):
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def lexical_bm25(spark, d):
+    return _word_hits(lexical.search(_typed(spark, QUERIES), _lexical_index(spark, d), 20, expand=False))
+
+
 def lexical_expansions(spark, d):
-    words = _lexical_index(spark, d)[0].select("term").distinct()
+    words = _lexical_index(spark, d).vocabulary.select("term").distinct()
     return lexical.expansions(spark.createDataFrame([(1, t) for t in TERMS], "query_id int, q string"), words).select("q", "term", F.round("weight", 6).alias("weight"))
 
 
 def lexical_search(spark, d):
-    typed = spark.createDataFrame([(1, "budgt shet"), (2, "invoic templ"), (3, "  "), (4, "retentoin schedule")], "query_id int, text string")
-    return lexical.search(typed, *_lexical_index(spark, d), 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return _word_hits(lexical.search(_typed(spark, MISTYPED), _lexical_index(spark, d), 10))
+
+
+def lexical_remove_then_search(spark, d):
+    """Without every third document; counts and mean lengths are those of the rest."""
+    docs = _lexical_docs(spark, d)
+    kept = docs.join(docs.where("cast(chunk_id as long) % 3 = 0").select("chunk_id"), "chunk_id", "left_anti")
+    whole = _lexical_index(spark, d)
+    index = lexical.without(whole, docs.where("cast(chunk_id as long) % 3 = 0"), lexical.statistics(kept))
+    return _word_hits(lexical.search(_typed(spark, QUERIES), index, 10, expand=False))
 
 
 def _ranked(spark, d, name):
@@ -188,9 +213,57 @@ def chunk_documents(spark, d):
     return chunked(_eval_docs(spark, d))
 
 
+#: A space that SQL can compute too: how often each letter occurs.
+LETTERS = EmbeddingSpace("letters", "1", 26)
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    x = np.array([[t.count(chr(97 + i)) + t.count(chr(65 + i)) for i in range(26)] for t in texts], np.float64).reshape(-1, 26)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
+_RFC3339 = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
+def _hybrid_index(spark, d) -> HybridIndex:
+    """Documents as single chunks, with letter vectors and the stored lexical index."""
+
+    def make():
+        docs = table(spark, d, "documents", "doc_id", "name", "text", "folder_id", "modified_time").withColumn("doc_id", F.col("doc_id").cast("string"))
+        rows = docs.select(
+            F.col("doc_id").alias("chunk_id"), "doc_id", F.col("name").alias("doc_name"), F.array_compact(F.array("folder_id")).alias("breadcrumbs"), "text", F.date_format("modified_time", _RFC3339).alias("modified_time")
+        )
+        return HybridIndex(staged(Embedder(LETTERS, letter_counts).embed(rows), "hybrid-chunks"), _lexical_index(spark, d))
+
+    return _stored(spark, d, "hybrid", make)
+
+
 def hybrid_search(spark, d):
-    index = build_index(_eval_docs(spark, d))
-    return HybridSearcher(index).search(spark.createDataFrame(QUERIES, "query_id int, text string"), 10)
+    hits = HybridSearcher(_hybrid_index(spark, d), Embedder(LETTERS, letter_counts)).search(_typed(spark, HYBRID), 10)
+    return hits.select("query_id", "place", "doc_id", "doc_name", F.array_join("breadcrumbs", lexical.SEPARATOR).alias("breadcrumbs"), "snippet", F.round("score", 9).alias("score"))
+
+
+def search_suggestions(spark, d):
+    return HybridSearcher(_hybrid_index(spark, d), Embedder(LETTERS, letter_counts)).suggestions(_typed(spark, HYBRID), 5)
+
+
+def eval_modes(spark, d):
+    """Recall and reciprocal rank of the three modes: the names of every twentieth document as queries, to find it by."""
+    docs = table(spark, d, "documents", "doc_id", "name").where("doc_id % 20 = 0 and name is not null")
+    stated = docs.select(F.col("doc_id").cast("string").alias("query_id"), F.col("name").alias("text"))
+    searcher = HybridSearcher(_hybrid_index(spark, d), Embedder(LETTERS, letter_counts), lexical.Scoring(fuzzy=0.0))
+    means = evaluation.summary(searcher.rankings(stated), stated.select("query_id", F.col("query_id").alias("doc_id")))
+    return means.select("mode", *[F.round(c, 6).alias(c) for c in means.columns if c != "mode"])
+
+
+def chunk_sections(spark, d):
+    """Characters of each document under each path of headings, as its chunks hold them: what a chunk repeats of the one before isn't counted."""
+    docs = _eval_docs(spark, d).select(F.md5("text").alias("doc_id"), F.lit(None).cast("string").alias("doc_name"), "text", F.lit(None).cast("string").alias("modified_time")).where("text is not null").distinct()
+    bare = lambda c: F.length(F.regexp_replace(c, f"[{text.WHITE}]+", ""))
+    rows = chunked(docs).withColumn("own", F.expr("substring(text, overlap + 1)"))
+    path = F.array_join("breadcrumbs", lexical.SEPARATOR)
+    return rows.groupBy("doc_id", path.alias("path")).agg(F.sum(bare(F.col("own"))).cast("long").alias("chars"), (F.max(F.length("own")) <= 1200 + 1000).alias("fits")).where("chars > 0")
 
 
 def plan_batches(spark, d):
@@ -198,6 +271,19 @@ def plan_batches(spark, d):
     return batching.plan_batches(docs)
 
 
+def embed_remote(spark, d):
+    """A service that takes slices and refuses every third request once, asked through the router."""
+    def call(texts: list[str], asked={}) -> dict:
+        asked["n"] = asked.get("n", 0) + 1
+        if asked["n"] % 3 == 2:
+            raise exporting.Refused(429, "slow down", 0.0)
+        return {"vectors": [[float(len(t)), float(t.count("e"))] for t in texts], "dims": 2, "model": "counts"}
+
+    space = EmbeddingSpace("counts", "1", 2)
+    rows = Embedder(space, remote(space, call)).embed(table(spark, d, "documents", "doc_id", "text"))
+    return rows.select("doc_id", F.col("embedding")[0].cast("int").alias("chars"), F.col("embedding")[1].cast("int").alias("e"))
+
+
 def embed_documents(spark, d):
     rows = Embedder().embed(table(spark, d, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(numbers.norm(F.col("embedding")), 3).alias("norm"))
@@ -277,10 +363,25 @@ def list_documents(spark, d):
     return catalog.list_documents(table(spark, d, "drive_changes", "file").select("file.*").distinct())
 
 
+def _fetch(doc_id: str, asked=set()) -> str:
+    """A stand-in for the remote listing: some documents are gone, some are refused once."""
+    n = int(doc_id)
+    if n % 7 == 0:
+        raise exporting.Refused(404, "gone")
+    if n % 5 == 0 and doc_id not in asked:
+        asked.add(doc_id)
+        raise exporting.Refused(403, "userRateLimitExceeded", 0.0)
+    return f"# {doc_id}\n\nBody of document {doc_id}."
+
+
 def export_split(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
-    exported = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("markdown"), F.when(F.col("text").isNull(), "no body").alias("error"))
-    return exporting.export_report(exported)
+    docs = table(spark, d, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return exporting.export_report(exporting.export_documents(docs, _fetch))
+
+
+def export_failures(spark, d):
+    docs = table(spark, d, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return exporting.split_failures(exporting.export_documents(docs, _fetch))[1]
 
 
 def retriable_errors(spark, d):
@@ -302,22 +403,91 @@ def text_checksums(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", hashing.fnv1a_column(F.encode("text", "UTF-8")).alias("fnv1a"))
 
 
+def _current(spark, d):
+    """Usable vectors of the current space, one a chunk."""
+    spaces = table(spark, d, "embedding_spaces", "model_id", "revision", "dims", "is_current").where("is_current")
+    rows = table(spark, d, "snapshot_vectors", "model_id", "revision", "chunk_id", "embedding").join(F.broadcast(spaces), ["model_id", "revision"])  # fixed: one space is current
+    good = rows.where((F.size("embedding") == F.col("dims")) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    return good.where("chunk_id is not null").groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
+
+
 def snapshot_roundtrip(spark, d):
-    """Chunks with vectors, published and loaded again."""
-    kept = table(spark, d, "snapshot_vectors", "chunk_id", "revision", "embedding").where("revision = 'r7' and size(embedding) = 384").groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
-    index = _latest_chunks(spark, d).join(kept, "chunk_id")
+    """Chunks with vectors, published, verified, loaded again; each vector is compared with what was saved."""
+    kept = staged(_current(spark, d), "snapshot-vectors")
     store = SnapshotStore(spark, f"{run_dir(spark)}/snapshot-{uuid.uuid4().hex[:10]}", HASHED)
-    store.save(index)
-    return indexing.index_stats(store.load().index)
+    store.save(_latest_chunks(spark, d).join(kept, "chunk_id"))
+    loaded = store.load(verify=True).index.select("chunk_id", "doc_id", F.md5("text").alias("text_md5"), F.col("embedding").alias("back"))
+    near = numbers.dot(numbers.unit(F.col("embedding")), F.col("back")) > 0.999
+    return loaded.join(kept, "chunk_id").select("chunk_id", "doc_id", "text_md5", near.alias("near"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.next_run(
+def snapshot_conflict(spark, d):
+    """Two writers that saw the same version: the second merges what the first has published; vectors tell whose row won."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "modified_time")
+
+    def side(rows, days, x, y):
+        time = F.date_format(F.col("modified_time") + F.expr(f"interval {days} days"), _RFC3339)
+        return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("text"), time.alias("modified_time"), F.array(F.lit(x), F.lit(y)).cast("array<float>").alias("embedding"))
+
+    path, space = f"{run_dir(spark)}/shared-{uuid.uuid4().hex[:10]}", EmbeddingSpace("pair", "1", 2)
+    first, second = SnapshotStore(spark, path, space), SnapshotStore(spark, path, space)
+    first.save(side(docs.where("doc_id % 3 = 0"), 0, 1.0, 0.0))
+    second.load()
+    first.save(side(docs.where("doc_id % 3 <> 1"), 1, 1.0, 0.0))
+    second.save(side(docs.where("doc_id % 3 <> 2"), 2, 0.0, 1.0))
+    row = second.load(verify=True).index
+    return row.select("doc_id", F.col("embedding")[0].cast("int").alias("first"), F.col("embedding")[1].cast("int").alias("second"), "text")
+
+
+def sync_index(spark, d):
+    """The change feed followed in two batches, the second one given twice: chunks of each indexed document, and documents that failed."""
+    def fetch(ids):
+        bad = F.col("doc_id").endswith("7")
+        body = F.when(~bad, F.concat(F.lit("# Head\n\nBody of "), "doc_id", F.lit(".\n\n## Part\n\nMore of it.")))
+        return ids.select("doc_id", F.lit("name").alias("doc_name"), body.alias("text"), F.lit("2025-01-01T00:00:00Z").alias("modified_time"), F.when(bad, "refused").alias("error"))
+
+    sync = IndexSync(spark, f"{run_dir(spark)}/sync-{uuid.uuid4().hex[:10]}", fetch, Embedder(LETTERS, letter_counts))
+    feed = table(spark, d, "drive_changes", "seq", "file_id", "removed", "file")
+    middle = feed.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    sync.apply(feed.where(F.col("seq") <= middle), 0)
+    for _ in range(2):
+        sync.apply(feed.where(F.col("seq") > middle), 1)
+    indexed = sync.index().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.size("embedding")).alias("dims"))
+    return indexed.select("doc_id", "chunks", "dims").unionByName(sync.failures().select("doc_id", F.lit(0).cast("long").alias("chunks"), F.lit(0).alias("dims")))
+
+
+def _p5(spark: SparkSession, d: str) -> tuple:
+    return (
         table(spark, d, "doc_meta", "id", "modified_time"),
         table(spark, d, "drive_changes", "file_id", "seq"),
         table(spark, d, "sync_log", "run_id", "file_id", "last_seq", "modified_time", "outcome"),
         table(spark, d, "sync_runs", "run_id", "status", "status_at"),
-    ).select("record_kind", "file_id")
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.next_run(*_p5(spark, d)).select("record_kind", "file_id")
+
+
+def p5_taken(spark: SparkSession, d: str) -> DataFrame:
+    """Versions in the targets after a run that failed, the next run, and one more with nothing left to do."""
+    meta, feed, log, runs = _p5(spark, d)
+    targets, out = incremental.targets_of(log, runs), []
+
+    def fails(pending):
+        raise ConnectionError("lost")
+
+    for kind, source in (("listing", incremental.listings(meta)), ("feed", incremental.changes_of(feed))):
+        target = targets[kind]
+        try:
+            target.run(source, fails)
+        except ConnectionError:
+            pass
+        target.run(source, lambda pending: pending)
+        target.run(source, lambda pending: pending)
+        version = F.unix_micros("version") if kind == "listing" else F.col("version")
+        out.append(target.state().select(F.lit(kind).alias("record_kind"), F.col("key").alias("file_id"), version.alias("version")))
+    return out[0].unionByName(out[1])
 
 
 def p7_files(spark: SparkSession, d: str) -> DataFrame:
@@ -356,29 +526,79 @@ one as (select q.vec_id as asked, x.vec_id as id, row_number() over (partition b
 two as (select q.vec_id as asked, x.vec_id as id, row_number() over (partition by q.vec_id order by list_inner_product({_UNIT.format("q")}, x.b) desc, x.vec_id) as r from v q, back x where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by list_inner_product({_UNIT.format("q")}, x.b) desc, x.vec_id) <= 5)
 select round(avg(hit), 6) as recall from (select one.asked, count(two.id) / count(*) as hit from one left join two on one.asked = two.asked and one.id = two.id group by one.asked)"""
 
-_WORDS = r"""docs as (select cast(doc_id as varchar) as chunk_id, text as t_text, name as t_title from documents),
-fields as (select chunk_id, 'text' as field, t_text as body from docs union all select chunk_id, 'title', t_title from docs),
+_WORDS = r"""docs as (select cast(doc_id as varchar) as chunk_id, text as t_text, name as t_title, folder_id as t_crumbs from documents),
+fields as (select chunk_id, 'text' as field, t_text as body from docs union all select chunk_id, 'title', t_title from docs union all select chunk_id, 'breadcrumbs', t_crumbs from docs),
 toks as (select chunk_id, field, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0) as words from fields),
 posted as (select term, field, chunk_id, count(*) as tf, any_value(len) as len from
     (select chunk_id, field, len(words) as len, unnest(words) as term from toks) group by term, field, chunk_id),
 stats as (select field, count(*) as n, sum(coalesce(len(words), 0)) / count(*) as avglen from toks group by field)"""
 
-_BM25_SQL = f"""with {_WORDS},
-asked as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)) as term from (values {_QUERY_VALUES}) q(query_id, t)),
+_ASKED = "asked as (select distinct query_id, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0)) as q from typed)"
+_EXACT = "reached as (select distinct q, q as term, 1.0::double as w from asked)"
+_REACHED = """words as (select distinct term, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') as ascii from posted),
+near as (select q, term, length(term) as n, length(q) as m, {0} as dist from words, (select distinct q from asked)),
+reached as (
+    select q, term, 1.0::double as w from near where q = term
+    union all select q, term, 0.375::double * n / (n + 0.3::double * (n - m)) from near where n > m and starts_with(term, q)
+    union all select q, term, 0.45::double * n / (n + dist) from near where dist > 0 and dist <= floor(m * 0.2 + 0.5))"""
+_NEAR, _PREFIX = _REACHED.format("levenshtein(ascii, q)"), _REACHED.format("0")
+_SCORED = """best as (select query_id, term, max(w) as w from asked join reached using (q) group by query_id, term),
 dfs as (select term, field, count(*) as df from posted group by term, field),
-scored as (select query_id, chunk_id as doc_id, sum(case field when 'title' then 3.0 else 1.0 end * ln(1 + (n - df + 0.5) / (df + 0.5))
+scored as (select query_id, chunk_id, sum(w * case field when 'title' then 3.0 when 'breadcrumbs' then 2.0 else 1.0 end * ln(1 + (n - df + 0.5) / (df + 0.5))
     * (0.5::double + tf * 2.2::double / (tf + 1.2::double * (0.3::double + 0.7::double * len / avglen)))) as s
-    from asked join posted using (term) join dfs using (term, field) join stats using (field) group by query_id, chunk_id)
-select query_id, doc_id, round(s, 6) as score, cast(row_number() over (partition by query_id order by round(s, 9) desc, doc_id) as integer) as rank from scored
-qualify row_number() over (partition by query_id order by round(s, 9) desc, doc_id) <= 20"""
+    from best join posted using (term) join dfs using (term, field) join stats using (field) group by query_id, chunk_id),
+lexical as (select query_id, chunk_id, s, cast(row_number() over (partition by query_id order by round(s, 9) desc, chunk_id) as integer) as rank from scored)"""
 
-_EXPAND_SQL = f"""with {_WORDS}, words as (select distinct term, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') as ascii from posted),
-pairs as (select q, term, length(term) as n, length(q) as m, levenshtein(ascii, q) as dist from words, (values {_TERM_VALUES}) t(q)),
-reached as (
-    select q, term, 1.0::double as w from pairs where q = term
-    union all select q, term, 0.375::double * n / (n + 0.3::double * (n - m)) from pairs where n > m and starts_with(term, q)
-    union all select q, term, 0.45::double * n / (n + dist) from pairs where dist > 0 and dist <= floor(m * 0.2 + 0.5))
-select q, term, round(max(w), 6) as weight from reached group by q, term"""
+
+def _lexical_sql(typed: str, reached: str, k: int, words: str = _WORDS) -> str:
+    return f"with {words}, typed as (select query_id, t from (values {typed}) v(query_id, t)), {_ASKED}, {reached}, {_SCORED} select query_id, chunk_id as doc_id, round(s, 6) as score, rank from lexical where rank <= {k}"
+
+
+_EXPAND_SQL = f"with {_WORDS}, typed as (select 1 as query_id, t from (values {_TERM_VALUES}) v(t)), {_ASKED}, {_NEAR} select q, term, round(max(w), 6) as weight from reached group by q, term"
+
+#: Letter vectors at unit length, single precision as they are stored; a query's is brought to unit length once more.
+_LETTERS = """list_transform(range(97, 123), lambda i: length({0}) - length(replace({0}, chr(i::integer), '')) + length({0}) - length(replace({0}, chr(i::integer - 32), '')))"""
+_HYBRID = f"""{_WORDS}, {_ASKED},
+counted as (select cast(doc_id as varchar) as chunk_id, {_LETTERS.format("text")} as c from documents where text is not null),
+vectors as (select chunk_id, list_transform(c, lambda x: (x / case when list_sum(c) = 0 then 1 else sqrt(list_sum(list_transform(c, lambda y: y * y))) end)::float::double) as e from counted),
+q_counted as (select query_id, {_LETTERS.format("t")} as c from typed where regexp_matches(t, '[^{_SPACE[1:-1]}]')),
+q_float as (select query_id, list_transform(c, lambda x: (x / case when list_sum(c) = 0 then 1 else sqrt(list_sum(list_transform(c, lambda y: y * y))) end)::float::double) as e from q_counted),
+q_unit as (select query_id, list_transform(e, lambda x: x / case when list_sum(e) = 0 then 1 else sqrt(list_sum(list_transform(e, lambda y: y * y))) end) as e from q_float),
+semantic as (select query_id, chunk_id, cast(row_number() over (partition by query_id order by round(list_inner_product(q.e, v.e), 12) desc, chunk_id) as integer) as rank from q_unit q, vectors v),
+times as (select cast(doc_id as varchar) as chunk_id, coalesce(epoch_ms(modified_time), 0) as millis from documents),"""
+
+
+def _fused_sql(depth: int, recency: bool) -> str:
+    return f"""paired as (select query_id, chunk_id, rank, 0 as l from semantic where rank <= {depth} union all select query_id, chunk_id, rank, 1 from lexical where rank <= {depth}),
+sums as (select query_id, chunk_id, sum(1.0::double / (60 + rank)) as s, min(case when l = 0 then rank end) as r0, min(case when l = 1 then rank end) as r1 from paired group by query_id, chunk_id),
+fused as (select query_id, chunk_id, s, cast(row_number() over (partition by query_id order by round(s, 9) desc, {"millis" if recency else "0"} desc, r0 nulls last, r1 nulls last, chunk_id) as integer) as rank from sums join times using (chunk_id))"""
+
+
+def _hybrid_sql(select: str) -> str:
+    return f"""with typed as (select cast(query_id as varchar) as query_id, t from (values {_VALUES(HYBRID)}) v(query_id, t)), {_HYBRID} {_NEAR}, {_SCORED}, {_fused_sql(50, True)}
+{select} from fused join documents on chunk_id = cast(doc_id as varchar)"""
+
+
+_MODES_SQL = f"""with typed as (select cast(doc_id as varchar) as query_id, name as t from documents where doc_id % 20 = 0 and name is not null), {_HYBRID} {_PREFIX}, {_SCORED}, {_fused_sql(20, False)},
+ranked as (select 'semantic' as mode, query_id, chunk_id, rank from semantic where rank <= 20 union all select 'lexical', query_id, chunk_id, rank from lexical where rank <= 20 union all select 'hybrid', query_id, chunk_id, rank from fused),
+asked_modes as (select distinct mode, query_id from ranked),
+hits as (select mode, query_id, min(rank) as first from ranked where query_id = chunk_id group by mode, query_id)
+select mode, round(avg(case when first <= 1 then 1.0 else 0.0 end), 6) as recall_at_1, round(avg(case when first <= 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(coalesce(1.0 / first, 0)), 6) as mrr
+from asked_modes left join hits using (mode, query_id) group by mode"""
+
+#: Headings and fences by window functions instead of a state machine.
+_ECMA = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_SECTIONS_SQL = rf"""with texts as (select distinct text, md5(text) as doc_id from eval_docs where text is not null),
+split as (select doc_id, unnest(l) as line, unnest(range(len(l))) as i from (select doc_id, regexp_split_to_array(text, '\r?\n') as l from texts)),
+fenced as (select *, coalesce(sum(fence) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) % 2 as inside
+    from (select *, case when regexp_matches(line, '^[{_ECMA}]*(```|~~~)') then 1 else 0 end as fence from split)),
+marked as (select *, case when inside = 0 and fence = 0 and regexp_full_match(line, '#{{1,6}}[{_ECMA}]+[^\n\r\x{{2028}}\x{{2029}}]+') then length(regexp_extract(line, '^#+')) end as level from fenced),
+heads as (select doc_id, i, level, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(line, '^#{{1,6}}[{_ECMA}]+([^\n\r\x{{2028}}\x{{2029}}]+)$', 1),
+    '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), '[{_ECMA}]+#+[{_ECMA}]*$', ''), '^[{_ECMA}]+|[{_ECMA}]+$', '', 'g') as title from marked where level is not null),
+paths as (select h.doc_id, h.i, string_agg(a.title, ' › ' order by a.i) as path from heads h join heads a on a.doc_id = h.doc_id and a.i <= h.i
+    and not exists (select 1 from heads b where b.doc_id = h.doc_id and b.i > a.i and b.i <= h.i and b.level <= a.level) group by h.doc_id, h.i),
+bodies as (select doc_id, max(case when level is not null then i end) over (partition by doc_id order by i) as head, case when level is null then length(regexp_replace(line, '[{_ECMA}]+', '', 'g')) else 0 end as n from marked)
+select b.doc_id, coalesce(path, '') as path, cast(sum(n) as bigint) as chars, true as fits from bodies b left join paths p on p.doc_id = b.doc_id and p.i = b.head group by all having sum(n) > 0"""
 
 _RANKED = """ranked as (select list_id, query_id, id, row_number() over (partition by list_id, query_id order by score desc, id) as rank
     from (select list_id, query_id, id, max(score) as score from search_hits where id is not null and not isnan(score) group by list_id, query_id, id))"""
@@ -439,6 +659,15 @@ select doc_id, origin from (select * from a union all select * from b) qualify r
 _BURST_SQL = """with marked as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as fresh from events where ts is not null),
 bursts as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as burst from marked)
 select user_id, arg_max(event_id, ts) as last_value, count(*) as n from bursts group by user_id, burst"""
+_SYNC_SQL = """select file_id as doc_id, case when file_id like '%7' then 0::bigint else 2::bigint end as chunks, case when file_id like '%7' then 0 else 26 end as dims from latest where not gone"""
+_TAKEN_SQL = f"""
+with finals as (select run_id, arg_max(status, status_at) as status from sync_runs group by run_id),
+counting as (select l.* from sync_log l join finals f using (run_id) where f.status = 'succeeded' and l.outcome = 'done' and l.file_id is not null),
+times as (select file_id, epoch_us({_TIME.format("modified_time")}) as v, true as own from counting where {_TIME.format("modified_time")} is not null union all select id, epoch_us({_TIME.format("modified_time")}), false from doc_meta where id is not null),
+seqs as (select file_id, last_seq as v from counting where last_seq is not null union all select file_id, seq from drive_changes where file_id is not null)
+select 'listing' as record_kind, file_id, max(v) as version from times group by file_id
+union all select 'feed', file_id, max(v) from seqs group by file_id
+"""
 _P5_SQL = f"""
 with finals as (select run_id, arg_max(status, status_at) as status from sync_runs group by run_id),
 counting as (select l.* from sync_log l join finals f using (run_id) where f.status = 'succeeded' and l.outcome = 'done'),
@@ -455,9 +684,9 @@ _ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&l
 def queries() -> dict:
     names = (
         vector_topk, vector_topk_batch, vector_remove_then_search, vector_get, vector_normalize, vector_dims, int8_roundtrip, int8_recall_at_5, lexical_postings, lexical_statistics, lexical_bm25,
-        lexical_expansions, lexical_search, rrf_fusion, hybrid_collapse, hybrid_search, eval_metrics, snippet, sentence_split, clean_inline, epoch_millis, chunk_documents, plan_batches, embed_documents,
-        chunk_diff, index_add_idempotent, index_remove_docs, index_stats, change_feed_collapse, apply_intents, feed_intents, feed_stream, merge_lww, debounce_latest, list_documents, export_split,
-        retriable_errors, suggestions, bench_corpus, text_checksums, snapshot_roundtrip, p5_found, p7_found, p7_files,
+        lexical_expansions, lexical_search, lexical_remove_then_search, rrf_fusion, hybrid_collapse, hybrid_search, search_suggestions, eval_modes, eval_metrics, snippet, sentence_split, clean_inline, epoch_millis, chunk_documents, chunk_sections, plan_batches, embed_documents, embed_remote,
+        chunk_diff, index_add_idempotent, index_remove_docs, index_stats, change_feed_collapse, apply_intents, feed_intents, feed_stream, merge_lww, debounce_latest, list_documents, export_split, export_failures,
+        retriable_errors, suggestions, bench_corpus, text_checksums, snapshot_roundtrip, snapshot_conflict, sync_index, p5_found, p5_taken, p7_found, p7_files,
     )
     return {f.__name__: f for f in names}
 
@@ -475,14 +704,14 @@ def oracle_sql() -> dict[str, str]:
         "int8_recall_at_5": _RECALL_SQL,
         "lexical_postings": f"with {_WORDS} select term, field, count(*) as df, cast(sum(tf) as bigint) as tf from posted group by term, field",
         "lexical_statistics": f"with {_WORDS} select field, n, round(avglen, 6) as avglen from stats",
-        "lexical_bm25": _BM25_SQL,
+        "lexical_bm25": _lexical_sql(_QUERY_VALUES, _EXACT, 20),
         "lexical_expansions": _EXPAND_SQL,
         "rrf_fusion": f"with {_FUSED} select query_id, id, round(s, 9) as score, fused_rank from fused",
         "hybrid_collapse": _COLLAPSE_SQL,
         "eval_metrics": _EVAL_SQL,
         "snippet": f"select doc_id, {_snippet_sql('text')} as snippet from documents",
-        "sentence_split": "with s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\\s\\x0B]+', '\\1\ue000', 'g'), '\ue000'), lambda x: length(x) > 0) as s from documents where text is not null) select doc_id, cast(len(s) as integer) as n, cast(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as integer) as longest from s",
-        "clean_inline": f"with c as (select id, unnest(breadcrumbs) as crumb, generate_subscripts(breadcrumbs, 1) - 1 as i from chunks) select id, cast(i as integer) as place, regexp_replace(regexp_replace(regexp_replace(regexp_replace(crumb, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]', '', 'g'), '{_SPACE}+#+{_SPACE}*$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as title from c",
+        "sentence_split": f"with s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[{_ECMA}]+', '\\1\ue000', 'g'), '\ue000'), lambda x: length(x) > 0) as s from documents where text is not null) select doc_id, cast(len(s) as integer) as n, cast(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as integer) as longest from s",
+        "clean_inline": f"with c as (select id, unnest(breadcrumbs) as crumb, generate_subscripts(breadcrumbs, 1) - 1 as i from chunks) select id, cast(i as integer) as place, regexp_replace(regexp_replace(regexp_replace(regexp_replace(crumb, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]', '', 'g'), '[{_ECMA}]+#+[{_ECMA}]*$', ''), '^[{_ECMA}]+|[{_ECMA}]+$', '', 'g') as title from c",
         "epoch_millis": f"select id, {_MILLIS} as millis from doc_meta",
         "plan_batches": _BATCH_SQL,
         "chunk_diff": _DIFF_SQL,
@@ -496,11 +725,24 @@ def oracle_sql() -> dict[str, str]:
         "merge_lww": _MERGE_SQL,
         "debounce_latest": _BURST_SQL,
         "list_documents": "select distinct file.id as id, file.name as name, file.modified_time as modified_time, from drive_changes where file.mime_type = 'application/vnd.google-apps.document' and not coalesce(file.trashed, false)",
-        "export_split": "select count(text) as exported, count(*) - count(text) as failed, cast(coalesce(sum(length(text)), 0) as bigint) as total_chars from documents",
+        "export_split": "select count(*) filter (doc_id % 7 <> 0) as exported, count(*) filter (doc_id % 7 = 0) as failed, cast(coalesce(sum(length('# ' || doc_id || 'nnBody of document ' || doc_id || '.')) filter (doc_id % 7 <> 0), 0) as bigint) as total_chars from documents",
         "retriable_errors": "select status, body, status = 429 or status >= 500 or (status = 403 and (contains(lower(coalesce(body, '')), 'ratelimitexceeded') or contains(lower(coalesce(body, '')), 'quotaexceeded'))) as retriable from (values (429, ''), (500, null), (503, 'x'), (403, 'User RateLimitExceeded'), (403, 'quotaExceeded'), (403, 'forbidden'), (404, 'quotaExceeded'), (200, null)) t(status, body)",
         "suggestions": f"select doc_id, 'https://docs.google.com/document/d/' || doc_id || '/edit' as url, '<match>' || {name} || '</match>' || case when folder_id is null or folder_id = '' then '' else ' <dim>' || {escaped('folder_id')} || '</dim>' end || ' — ' || {detail} as line from documents where name is not null and text is not null",
         "bench_corpus": "select i as idx, array_to_string(list_transform(range(0, 8 + (i * 37) % 190), lambda w: 'token' || ((i + w) % 100)), ' ') as text from range(500) t(i)",
-        "snapshot_roundtrip": "select count(*) as index_size, count(distinct doc_id) as doc_count from (select id, any_value(doc_id) as doc_id from chunks where id is not null group by id) where id in (select chunk_id from snapshot_vectors where revision = 'r7' and len(embedding) = 384)",
+        "snapshot_roundtrip": f"with {_LATEST} select chunk_id, doc_id, md5(text) as text_md5, true as near from latest where chunk_id in (select chunk_id from snapshot_vectors v join embedding_spaces e on v.model_id = e.model_id and v.revision = e.revision where is_current and len(v.embedding) = e.dims and len(list_filter(v.embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v.embedding, lambda x: x <> 0)) > 0)",
+        "lexical_search": _lexical_sql(_VALUES(MISTYPED), _NEAR, 10),
+        "lexical_remove_then_search": _lexical_sql(_QUERY_VALUES, _EXACT, 10, _WORDS.replace("from documents", "from documents where doc_id % 3 <> 0")),
+        "hybrid_search": _hybrid_sql(f"select query_id, rank as place, chunk_id as doc_id, name as doc_name, coalesce(folder_id, '') as breadcrumbs, {_snippet_sql('text')} as snippet, round(s, 9) as score") + " where rank <= 10",
+        "search_suggestions": _hybrid_sql(f"select query_id, rank as place, 'https://docs.google.com/document/d/' || chunk_id || '/edit' as url, '<match>' || {name} || '</match>' || case when folder_id is null or folder_id = '' then '' else ' <dim>' || {escaped('folder_id')} || '</dim>' end || ' — ' || {detail} as line") + " where rank <= 5",
+        "eval_modes": _MODES_SQL,
+        "chunk_sections": _SECTIONS_SQL,
+        "embed_documents": f"select doc_id, case when text is not null then 384 end as dims, case when text is null then null when regexp_matches(text, '[^{_SPACE[1:-1]}\\x1C-\\x1F]') then 1.0::double else 0.0::double end as norm from documents",
+        "embed_remote": "select doc_id, cast(length(text) as integer) as chars, cast(length(text) - length(replace(text, 'e', '')) as integer) as e from documents",
+        "export_failures": "select cast(doc_id as varchar) as doc_id, 'Refused: 404 gone' as error from documents where doc_id % 7 = 0",
+        "text_checksums": "select doc_id, case when text is not null then list_reduce(list_prepend(2166136261::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) end as fnv1a from documents",
+        "snapshot_conflict": "select cast(doc_id as varchar) as doc_id, case when doc_id % 3 = 2 then 1 else 0 end as first, case when doc_id % 3 = 2 then 0 else 1 end as second, lang as text from documents",
+        "sync_index": _P7_CTE + _SYNC_SQL,
+        "p5_taken": _TAKEN_SQL,
         "p5_found": _P5_SQL,
         "p7_found": _P7_CTE + "select file_id, seq from latest where not gone",
         "p7_files": _P7_CTE + "select file_id, seq, file.id as id, file.name as name, file.mime_type as mime_type, file.modified_time as modified_time, file.trashed as trashed from latest where not gone",

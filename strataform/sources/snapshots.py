@@ -46,15 +46,23 @@ def restored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("embedding", dequantize(F.col("codes"), F.col("scale").cast("double")).cast("array<float>")).drop("codes", "scale")
 
 
+def _checksum(rows: DataFrame) -> list[int]:
+    """Number of rows and a sum of their hashes, whatever their order."""
+    row = rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c).cast("string") if c == "codes" else F.col(c) for c in sorted(rows.columns)])), F.lit(0)).alias("h")).first()
+    return [row["n"], row["h"]]
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str, space: EmbeddingSpace):
         self.space, self.table, self.seen = space, VersionedTable(spark, path), 0
 
-    def load(self, version: int | None = None) -> Loaded:
+    def load(self, version: int | None = None, verify: bool = False) -> Loaded:
         """The current version, or one by number, if it is of this store's space.
 
         Nothing is embedded again.  A missing, damaged or foreign snapshot
-        isn't an error; a failing file system is.
+        isn't an error; a failing file system is.  ``verify`` reads all data
+        once and compares its checksum with the manifest's, so that files that
+        are damaged, missing or changed count as damaged too.
         """
         version = self.table.current() if version is None else version
         if not version:
@@ -66,9 +74,18 @@ class SnapshotStore:
             return Loaded(None, version, "damaged manifest")
         if (model, revision) != (self.space.model_id, self.space.revision):
             return Loaded(None, version, f"made for {model} {revision}")
+        if verify:
+            try:
+                if _checksum(self.table.read("index", version)) != manifest.get("checksum"):
+                    return Loaded(None, version, "damaged data")
+            except Exception as e:  # Spark names unreadable files in many ways
+                return Loaded(None, version, f"damaged data: {str(e)[:100]}")
         self.seen = version
         return Loaded(restored(self.table.read("index", version)), version)
 
+    def spark_read(self, place: str) -> DataFrame:
+        return self.table.spark.read.parquet(f"{self.table.path}/{place}")
+
     def stats(self) -> dict:
         found = self.load()
         if not found.loaded:
@@ -90,7 +107,7 @@ class SnapshotStore:
                     mine = merge(index, theirs.index.select(*index.columns))
             place = self.table.write(stored(mine), "index")
             try:
-                self.seen = self.table.publish({"index": place}, base, model_id=self.space.model_id, revision=self.space.revision, dims=self.space.dims)
+                self.seen = self.table.publish({"index": place}, base, checksum=_checksum(self.spark_read(place)), model_id=self.space.model_id, revision=self.space.revision, dims=self.space.dims)
                 return self.seen
             except VersionTaken:
                 continue

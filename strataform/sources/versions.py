@@ -5,6 +5,10 @@ manifest naming it exists.  The manifest is created with "fail if it exists",
 so of two writers of the same version number exactly one wins and the other
 raises :class:`VersionTaken`.  A crash before that leaves only an unreferenced
 folder; a reader sees the old version or the new one, never a mixture.
+
+A part may be kept in buckets, hashed by a key.  Then a version names a place
+for each bucket, and the next version writes only the buckets it touches and
+names the others where they are.
 """
 
 from __future__ import annotations
@@ -14,12 +18,26 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strataform.workspace import hadoop
 
 
+#: Rows for which a part gets a bucket, and the fewest buckets.  At twice as many rows a bucket, a part is hashed anew.
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 8
+BUCKET = "_bucket"
+
+
+def buckets_for(rows: int) -> int:
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
 class VersionTaken(RuntimeError):
     """Another writer published this version number first."""
 
@@ -58,7 +76,35 @@ class VersionedTable:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{place}")
         return place
 
-    def publish(self, parts: dict[str, str], expected: int | None = None, **info) -> int:
+    def bucketed(self, part: str = "data", version: int | None = None) -> dict | None:
+        """``buckets, rows, schema, places`` of a part kept in buckets; None if there is none."""
+        manifest = self.manifest(version)
+        found = manifest["parts"].get(part) if manifest else None
+        return found if isinstance(found, dict) else None
+
+    def read_buckets(self, wanted: list[int], part: str = "data", version: int | None = None) -> DataFrame:
+        """The rows of some buckets of a part that is kept in buckets."""
+        held = self.bucketed(part, version)
+        schema = StructType.fromJson(held["schema"])
+        places = [f"{self.path}/{held['places'][str(b)]}" for b in wanted if str(b) in held["places"]]
+        return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
+
+    def rewrite(self, rows: DataFrame, key: str, touched: list[int], buckets: int, held: dict | None = None, part: str = "data") -> dict:
+        """Write the rows of the touched buckets; the other buckets of ``held`` stay where they are.
+
+        ``rows`` are all rows of the touched buckets.  Gives the part to publish.
+        """
+        place = f"{part}/{uuid.uuid4().hex}"
+        marked = rows.withColumn(BUCKET, bucket_of(F.col(key), buckets))
+        marked.repartition(max(1, len(touched)), BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/{place}")
+        fs, p = hadoop(self.spark, f"{self.path}/{place}")
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        fresh = {n.split("=")[1]: f"{place}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
+        gone = {str(b) for b in touched}
+        places = {b: x for b, x in (held["places"] if held else {}).items() if b not in gone} | fresh
+        return {"buckets": buckets, "schema": rows.schema.jsonValue(), "places": places}
+
+    def publish(self, parts: dict[str, str | dict], expected: int | None = None, **info) -> int:
         """Make written parts the version after ``expected`` (default: the current one)."""
         version = (self.current() if expected is None else expected) + 1
         fs, p = hadoop(self.spark, f"{self.path}/manifests/v{version:08d}.json")
@@ -108,9 +154,12 @@ class VersionedTable:
         manifest = self.manifest(version)
         if manifest is None or part not in manifest["parts"]:
             return None
+        place = manifest["parts"][part]
+        if isinstance(place, dict):
+            rows = self.read_buckets(list(range(place["buckets"])), part, version)
+            return rows if schema is None else rows.select(*schema.names)
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/{manifest['parts'][part]}")
-
+        return reader.parquet(f"{self.path}/{place}")
 
 
-__all__ = ["VersionTaken", "VersionedTable"]
+__all__ = ["VersionTaken", "VersionedTable", "bucket_of", "buckets_for"]

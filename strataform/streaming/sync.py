@@ -20,7 +20,8 @@ from strataform.operators.chunking import CHUNKS, ChunkOptions, chunk_documents
 from strataform.operators.embedding import Embedder
 from strataform.operators.indexing import update_documents
 from strataform.sources.snapshots import restored, stored
-from strataform.sources.versions import VersionedTable
+from strataform.sources.versions import BUCKET_ROWS, VersionedTable, bucket_of, buckets_for
+from strataform.workspace import staged
 
 CHANGE = T.StructType(
     [
@@ -74,10 +75,22 @@ class IndexSync:
         got = self.table.write(self.fetch(wanted.where("intent = 'upsert'").select("doc_id")), "fetched")
         fetched = self.spark.read.parquet(f"{self.table.path}/{got}")
         failed = fetched.where("error is not null").select("doc_id", "error")
-        chunks = chunk_documents(fetched.where("error is null"), self.options)
-        touched = wanted.join(failed, "doc_id", "left_anti").select("doc_id")
-        index = update_documents(self.index(), chunks, touched, self.embedder)
-        parts = {"index": self.table.write(stored(index), "index"), "failures": self.table.write(failed, "failures")}
+        chunks = chunk_documents(fetched.where("error is null"), self.options).drop("overlap")
+        touched = staged(wanted.join(failed, "doc_id", "left_anti").select("doc_id"), "touched")
+        # only the buckets of these documents are read and written; rows of other documents in them stay as they are stored
+        held = self.table.bucketed("index", base) if base else None
+        n = held["buckets"] if held else buckets_for(0)
+        if held and held["rows"] > 2 * BUCKET_ROWS * n:
+            n, old, held, hit = buckets_for(held["rows"]), self.table.read("index", base), None, None
+            hit = list(range(n))
+        else:
+            hit = [r["b"] for r in touched.select(bucket_of(F.col("doc_id"), n).alias("b")).distinct().collect()]  # n numbers at most
+            old = self.table.read_buckets(hit, "index", base) if held else stored(self.spark.createDataFrame([], INDEX))
+        mine = restored(old.join(touched, "doc_id", "left_semi")).select(*INDEX.names)
+        fresh = stored(update_documents(mine, chunks, touched, self.embedder))
+        rows = staged(old.join(touched, "doc_id", "left_anti").unionByName(fresh), "index-rows")
+        part = self.table.rewrite(rows, "doc_id", hit, n, held, "index") | {"rows": (held["rows"] if held else 0) + rows.count()}
+        parts = {"index": part, "failures": self.table.write(failed, "failures")}
         return self.table.publish(parts, base, batch_id=batch_id, since=since)
 
     def baseline(self, changes: DataFrame) -> int:

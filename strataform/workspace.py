@@ -3,7 +3,8 @@
 Every table that outlives one Spark job is written below the folder the
 cluster names in ``spark.checkpoint.dir``, which all executors can reach, so
 losing an executor never loses data.  A folder of our own is chosen only where
-that setting is absent (tests on one machine).
+that setting is absent and everything runs on one machine (tests); a cluster
+without it is an error.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="strataform-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -29,7 +29,6 @@ def searcher(spark):
     docs = spark.createDataFrame([(*r, 1.0) for r in CORPUS], "doc_id string, doc_name string, text string, modified_time string, score double")
     index = build_index(docs)
     index.chunks = index.chunks.cache()
-    index.postings = index.postings.cache()
     return HybridSearcher(index)
 
 

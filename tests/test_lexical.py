@@ -11,12 +11,12 @@ DOCS = [("d1:0", "Costs and revenue by quarter", "Q3 Budget 2025.xlsx", ["Financ
 def index(spark):
     chunks = spark.createDataFrame([(i, t, n, c) for i, t, n, c in DOCS], "chunk_id string, text string, doc_name string, breadcrumbs array<string>")
     docs = lexical.lexical_documents(chunks)
-    return lexical.postings(docs).cache(), lexical.statistics(docs).cache()
+    return lexical.build(docs)
 
 
 def find(spark, index, text, k=10):
     q = spark.createDataFrame([(1, text)], "query_id int, text string")
-    return [r.id for r in lexical.search(q, *index, k).orderBy("rank").collect()]
+    return [r.id for r in lexical.search(q, index, k).orderBy("rank").collect()]
 
 
 def test_contract(spark, index):
@@ -26,12 +26,12 @@ def test_contract(spark, index):
     assert find(spark, index, "invoic")[0] == "d2:1"
     assert find(spark, index, "  ") == [] == find(spark, index, "") == find(spark, index, "zzzzzz")
     assert len(find(spark, index, "the budget plan invoice", 2)) == 2
-    assert lexical.vocabulary_size(index[0]).first().chunks == 4
+    assert lexical.vocabulary_size(index.postings).first().chunks == 4
 
 
 def test_remove_and_add_again(spark, index):
-    left = lexical.remove_documents(index[0], spark.createDataFrame([("d1:0",), ("none",)], "chunk_id string"))
-    assert find(spark, (left, index[1]), "budget") == ["d2:0"]
+    ids = spark.createDataFrame([("d1:0",), ("none",)], "chunk_id string")
+    assert find(spark, lexical.without(index, ids, index.statistics), "budget") == ["d2:0"]
 
 
 def distance(a, b):

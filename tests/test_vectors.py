@@ -1,3 +1,4 @@
+import random
 import math
 
 import numpy as np
@@ -55,6 +56,35 @@ def test_blocks_of_queries(spark, compass, monkeypatch):
     assert [(r.query_id, r.id, r.rank) for r in vectors.search(compass, q, 2).orderBy("query_id", "rank").collect()] == want
 
 
+def test_cells_of_both_sides(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"v{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    rows += [(f"w{i}", rows[i][1]) for i in range(20)]  # repeated vectors tie and come in order of id
+    table = spark.createDataFrame(rows, "id string, embedding array<float>")
+    q = table.where("id like 'v1%'").select(F.col("id").alias("query_id"), "embedding")
+    found = lambda: [tuple(r)[:2] + (r.rank,) for r in vectors.search(table, q, 3).orderBy("query_id", "rank").collect()]
+    want = found()
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 50)
+    assert found() == want and ("v10", "v10", 1) in want and ("v10", "w10", 2) in want
+
+
+def test_resident_answers_as_the_search_does(spark):
+    rng = random.Random(3)
+    rows = [(f"v{i}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [("n", None)]
+    table = spark.createDataFrame([*rows, ("z0", rows[0][1]), ("a0", rows[0][1])], "id string, embedding array<float>")
+    held = vectors.Resident(table)
+    for i in (0, 5, 77):
+        want = [(r.id, round(r.score, 9)) for r in vectors.search(table, ask(spark, ("q", rows[i][1])), 4).orderBy("rank").collect()]
+        assert [(n, round(s, 9)) for n, s in held.search(np.float32(rows[i][1]), 4)] == want
+    assert [n for n, _ in held.search(rows[0][1], 3)] == ["a0", "v0", "z0"] and held.search(rows[0][1], 0) == []
+    assert vectors.Resident(table.limit(0)).search([1.0] * 8, 3) == []
+    with pytest.raises(ValueError):
+        held.search([1.0], 3)
+    with pytest.raises(ValueError):
+        vectors.Resident(table, most=10)
+
+
 def test_add_get_remove(spark, compass):
     t = compass.select(F.col("id").alias("chunk_id"), "embedding")
     gone = vectors.remove(t, t.where("chunk_id = 'north'").unionByName(t.where("chunk_id = 'north'")))
