@@ -80,13 +80,16 @@ class LexicalIndex:
 def build(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "breadcrumbs")) -> LexicalIndex:
     """An index written once: searches read only what their terms need.
 
-    Postings are ranged by term and chunk, so that a file holds few terms, its
-    column statistics let a filter on terms skip it, and a term most chunks
-    hold fills several files.
+    Postings stay where their aggregation put them, spread by term and chunk,
+    so that a term most chunks hold lies in all files.  Each file is in order
+    of terms: a filter on terms skips the row groups and pages without them.
     """
-    ranged = postings(docs, fields).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-    posted = staged(ranged, "postings")
-    return LexicalIndex(posted, staged(posted.groupBy("term", "field").agg(F.count("*").alias("df")), "vocabulary"), staged(statistics(docs, fields), "statistics"))
+    posted = staged(postings(docs, fields).sortWithinPartitions("term", "chunk_id"), "postings")
+    words = staged(posted.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "vocabulary")
+    # the statistics follow from the postings: no text is read again
+    n = docs.count()
+    stats = words.groupBy("field").agg(F.lit(n).cast("long").alias("n"), (F.sum("total") / n).alias("avglen"))
+    return LexicalIndex(posted, words.drop("total"), staged(stats, "statistics"))
 
 
 def remove_documents(posted: DataFrame, ids: DataFrame) -> DataFrame:
