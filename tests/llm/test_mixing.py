@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataform.llm import mixing
 
@@ -56,6 +57,24 @@ def test_soft_members_take_part_where_labels_tell(spark):
     assert all(r.domain == "ab"[r.doc_id % 2] for r in drawn)
 
 
+def test_unsure_texts_take_part_by_membership(spark):
+    """Texts that tell nothing of their source are drawn too, count for each domain by its posterior and leave the shares as they are."""
+    goal = [("big", 0.4, 1), ("mid", 0.3, 2), ("nowhere", 0.1, 5), ("tiny", 0.2, 4)]
+    d = docs(spark, 900).withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source")))
+    m = mixing.mix(d, targets(spark, goal))
+    drawn, shares = m.drawn.toPandas(), {r.source: r for r in m.shares.collect()}
+    unnamed = drawn.source.isna().to_numpy()
+    assert unnamed.sum() > 100
+    p, n = np.array(drawn.membership.tolist()), (drawn.tokens * drawn.copies).to_numpy()
+    assert p[unnamed].max() < 0.9
+    assert np.allclose(p.sum(axis=1), 1) and (p[:, 2] == 0).all() and shares["nowhere"].drawn_tokens == 0
+    assert (drawn.copies <= drawn.domain.map({s: c for s, _, c in goal})).all()
+    assert sum(r.drawn_tokens for r in shares.values()) == n.sum()
+    assert np.abs(n @ p - [shares[s].drawn_tokens for s, _, _ in goal]).max() <= 1
+    for s, want, _ in goal:
+        assert s == "nowhere" or shares[s].reached_share == pytest.approx(want / 0.9, abs=0.02)
+
+
 def test_unreachable_and_missing(spark):
     m = mixing.mix(docs(spark), targets(spark, [("big", 0.5, 1), ("nowhere", 0.2, 5), ("tiny", 0.3, 1), (None, 0.1, 1), ("mid", None, 1)]), total_tokens=6000)
     shares = {r.source: r for r in m.shares.collect()}
@@ -81,6 +100,13 @@ def test_classifier_learns_and_is_calibrated():
     assert mixing.posterior(noise, x).max(axis=1).mean() < 0.9
 
 
+def test_classifier_leaves_out_domains_without_rows():
+    rng = np.random.default_rng(2)
+    x = mixing.featurise([" ".join(rng.choice(["the", "of", "river", "table"], 12)) for _ in range(60)])
+    p = mixing.posterior(mixing.train(x, np.arange(60) % 2 * 2, 3), x)
+    assert (p[:, 1] == 0).all() and np.allclose(p.sum(axis=1), 1)
+
+
 def test_rates_stay_in_bounds():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     caps = np.array([1.0, 3.0])
