@@ -14,8 +14,9 @@ within distance d of a term holds one of its d+1 pieces, shifted by at most d.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.text import tokens
@@ -27,7 +28,7 @@ SEPARATOR = " › "
 BOOSTS = {"title": 3.0, "breadcrumbs": 2.0, "text": 1.0}
 
 
-#: Up to so many reached terms are named in the filter that reaches the files; beyond, a join picks the postings.
+#: Up to so many terms are named in a filter, of the files' postings or of words that begin with them; beyond, a join picks the postings.
 NAMED_TERMS = 2000
 #: Weights (query, term, field; about 60 bytes) that are broadcast to the postings; more are joined by a shuffle.
 BROADCAST_WEIGHTS = 100_000
@@ -61,6 +62,44 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "bread
     return words.select("chunk_id", "field", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("term", "field", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def first_words(queries: DataFrame) -> list[str] | None:
+    """The distinct words of some queries (``text``), in order, without those that begin with another; None if they are too many to be named."""
+    words = queries.select(F.explode(tokens(F.col("text"))).alias("q")).distinct().limit(NAMED_TERMS + 1).collect()
+    if len(words) > NAMED_TERMS:
+        return None
+    out: list[str] = []
+    for word in sorted(r["q"] for r in words):
+        if not out or not word.startswith(out[-1]):
+            out.append(word)
+    return out
+
+
+def _begins(term: Column, words: list[str], head: int = 3) -> Column:
+    """Whether a term begins with one of some words.  Most terms are told by their first letters."""
+    by_length: dict[int, list[str]] = {}
+    for word in words:
+        by_length.setdefault(len(word), []).append(word)
+    one = lambda n: F.substring(term, 1, n).isin(by_length[n])
+    any_of = lambda conditions: reduce(Column.__or__, conditions, F.lit(False))
+    short, long = (any_of(one(n) for n in sorted(by_length) if (n > head) == side) for side in (False, True))
+    return short | (F.substring(term, 1, head).isin(sorted({w[:head] for w in words if len(w) > head})) & long)
+
+
+def postings_for(docs: DataFrame, begins: list[str], fields: tuple[str, ...] = ("text", "title", "breadcrumbs")) -> DataFrame:
+    """The postings of all terms that begin with one of some words, and one of the term ``''`` for each field of a document.
+
+    The latter's ``tf`` is the field's length.  Words are picked and counted in
+    their row, so that only postings are shuffled, not every word.
+    """
+    stacked = spread(docs).select("chunk_id", F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', `{f}`" for f in fields) + ") as (field, body)"))
+    words = stacked.where("body is not null").select("chunk_id", "field", tokens(F.col("body")).alias("words"))
+    kept = words.select("chunk_id", "field", F.size("words").alias("len"), F.filter("words", lambda w: _begins(w, begins)).alias("kept"))
+    each = kept.select("*", F.explode(F.array_append(F.array_distinct("kept"), F.lit(""))).alias("term"))
+    count = F.when(F.col("term") == "", F.col("len")).otherwise(F.size("kept") - F.size(F.array_remove("kept", F.col("term"))))
+    # by chunk alone: what a search adds up for a chunk lies in one file
+    return each.select("term", "field", "chunk_id", count.alias("tf"), "len").repartition("chunk_id").groupBy("term", "field", "chunk_id").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
+
+
 def statistics(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "breadcrumbs")) -> DataFrame:
     """``field, n, avglen``: documents and mean length, one row per field."""
     stacked = docs.select(F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', `{f}`" for f in fields) + ") as (field, body)"))
@@ -92,6 +131,19 @@ def build(docs: DataFrame, fields: tuple[str, ...] = ("text", "title", "breadcru
     return LexicalIndex(posted, words.drop("total"), staged(stats, "statistics"))
 
 
+def build_for(docs: DataFrame, begins: list[str], fields: tuple[str, ...] = ("text", "title", "breadcrumbs")) -> LexicalIndex:
+    """An index for queries known beforehand, of the terms that begin with their :func:`first_words`.
+
+    All documents are read and count in the statistics.  It answers these
+    queries as the whole index does, with prefixes but not with near words.
+    """
+    posted = staged(postings_for(docs, begins, fields), "postings")  # all are read, so they need no order
+    words = staged(posted.groupBy("term", "field").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "vocabulary")
+    n = docs.count()
+    stats = words.where("term = ''").select("field", F.lit(n).cast("long").alias("n"), (F.col("total") / n).alias("avglen"))
+    return LexicalIndex(posted.where("term <> ''"), words.where("term <> ''").drop("total"), staged(stats, "statistics"))
+
+
 def remove_documents(posted: DataFrame, ids: DataFrame) -> DataFrame:
     """Postings without some chunks; absent ids change nothing."""
     return posted.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
@@ -174,4 +226,4 @@ def vocabulary_size(posted: DataFrame) -> DataFrame:
     return posted.agg(F.countDistinct("term").alias("terms"), F.countDistinct("chunk_id").alias("chunks"))
 
 
-__all__ = ["BOOSTS", "LexicalIndex", "Scoring", "build", "expansions", "lexical_documents", "postings", "query_terms", "remove_documents", "scores", "search", "statistics", "vocabulary_size"]
+__all__ = ["BOOSTS", "LexicalIndex", "Scoring", "build", "build_for", "expansions", "first_words", "lexical_documents", "postings", "postings_for", "query_terms", "remove_documents", "scores", "search", "statistics", "vocabulary_size"]

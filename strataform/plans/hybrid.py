@@ -62,15 +62,27 @@ class HybridSearcher:
         return hits.select("query_id", "place", presentation.document_url(F.col("doc_id")).alias("url"), line.alias("line"))
 
     def rankings(self, queries: DataFrame, depth: int = 20) -> DataFrame:
-        """``mode, query_id, doc_id, rank`` of the three modes, for evaluation; no recency."""
-        chunks = self.index.chunks.select("chunk_id", "doc_id")
+        """``mode, query_id, doc_id, rank`` of the three modes, for evaluation; no recency.
+
+        Queries that say the same share one ranking: each distinct question is
+        searched once, by vectors and by words, and its hits return to all who
+        asked it.
+        """
+        stated = queries.where(~is_blank(F.col("text"))).select(F.col("query_id").cast("string").alias("query_id"), "text")
+        # an id may come with several texts; together they are its question
+        asked = stated.groupBy("query_id").agg(F.sort_array(F.collect_list("text")).alias("texts")).withColumn("question", F.to_json("texts"))
+        asked = staged(asked, "asked")
+        distinct = asked.groupBy("question").agg(F.first("texts").alias("texts")).select(F.col("question").alias("query_id"), F.explode("texts").alias("text"))
+        semantic, words = staged(self.semantic(distinct, depth), "semantic-hits"), staged(self.words(distinct, depth), "word-hits")
         modes = {
-            "semantic": self.semantic(queries, depth).withColumnRenamed("rank", "fused_rank"),
-            "lexical": self.words(queries, depth).withColumnRenamed("rank", "fused_rank"),
-            "hybrid": self.fused(queries, depth, recency=False),
+            "semantic": semantic.withColumnRenamed("rank", "fused_rank"),
+            "lexical": words.withColumnRenamed("rank", "fused_rank"),
+            "hybrid": fusion.reciprocal_rank_fusion([semantic, words]),
         }
-        out = None
-        for mode, hits in modes.items():
-            ranked = fusion.best_chunk_per_document(hits, chunks, None).select(F.lit(mode).alias("mode"), "query_id", "doc_id", F.col("place").alias("rank"))
-            out = ranked if out is None else out.unionByName(ranked)
-        return out
+        hits = None
+        for mode, found in modes.items():
+            one = found.select(F.struct(F.lit(mode).alias("mode"), "query_id").alias("query_id"), "id", "fused_rank")
+            hits = one if hits is None else hits.unionByName(one)
+        best = fusion.best_chunk_per_document(hits, self.index.chunks.select("chunk_id", "doc_id"), None)
+        ranked = best.select("query_id.mode", F.col("query_id.query_id").alias("question"), "doc_id", F.col("place").alias("rank"))
+        return asked.select("query_id", "question").join(ranked, "question").select("mode", "query_id", "doc_id", "rank")

@@ -49,6 +49,21 @@ def test_modes_are_evaluated(spark, searcher):
     assert scores["hybrid"].recall_at_5 == 1.0 and scores["hybrid"].mrr >= 0.9
 
 
+def test_equal_questions_are_searched_once(spark, searcher, monkeypatch):
+    asked = []
+    for name in ("semantic", "words"):
+        own = getattr(searcher, name)
+        monkeypatch.setattr(searcher, name, lambda q, depth, name=name, own=own: asked.append((name, q.count())) or own(q, depth))
+    q = spark.createDataFrame([(i, ("hotel approval", "nightly job")[i % 2]) for i in range(20)] + [(20, " "), (21, None), (22, "restore"), (22, "designer")], "query_id int, text string")
+    rows = sorted((r.mode, int(r.query_id), r["rank"], r.doc_id) for r in searcher.rankings(q).collect())
+    assert asked == [("semantic", 4), ("words", 4)]
+    of = lambda i: [(m, r, d) for m, j, r, d in rows if j == i]
+    assert {j for _, j, _, _ in rows} == {*range(20), 22}
+    assert all(of(i) == of(i % 2) for i in range(20)) and of(0) != of(1)
+    assert ("semantic", 1, "d1") in of(0) and ("lexical", 1, "d2") in of(1)
+    assert {d for m, _, d in of(22) if m == "lexical"} == {"d2", "d3"}  # an id with two texts asks both
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["c"]), (["a", "b", "c"], ["a", "c", "z"]), (["a"], []), ([], ["a"])], "r array<string>, t array<string>")
     got = df.select(evaluation.recall_at(F.col("r"), F.col("t"), 3).alias("c"), evaluation.reciprocal_rank(F.col("r"), F.col("t")).alias("m"), evaluation.recall_at(F.col("r"), F.col("t"), 1).alias("one")).collect()

@@ -29,6 +29,26 @@ def test_contract(spark, index):
     assert lexical.vocabulary_size(index.postings).first().chunks == 4
 
 
+def test_an_index_for_stated_queries_answers_as_the_whole(spark):
+    rows = [("a", "Budgets, budget; BUDGET plans", "Störung 2025", "é"), ("b", None, "The plan", None), ("c", "", "planner's budgetary überplan", "plan"), ("d", "de desk design", "d 障害報告", ""), ("d", "desk again too", "x y", None)]
+    docs = spark.createDataFrame(rows, "chunk_id string, text string, title string, breadcrumbs string")
+    q = spark.createDataFrame([(1, "budget plan"), (2, "d’or"), (3, "STÖR 障害"), (4, "de de"), (5, " "), (6, "zzz"), (7, "planner")], "query_id int, text string")
+    begins = lexical.first_words(q)
+    assert begins == ["budget", "d", "or", "plan", "stör", "zzz", "障害"]  # design begins with d
+    whole, some = lexical.build(docs), lexical.build_for(docs, begins)
+    found = lambda index: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in lexical.search(q, index, 10, lexical.Scoring(fuzzy=0.0)).collect())
+    assert found(some) == found(whole) != []
+    kept = lambda df: sorted((r.term, r.field, r.chunk_id, r.tf) for r in df.collect() if r.term.startswith(tuple(begins)))
+    assert kept(some.postings) == kept(whole.postings) and some.postings.count() == len(kept(some.postings)) < whole.postings.count()
+    assert sorted(map(tuple, some.statistics.collect())) == sorted(map(tuple, whole.statistics.collect()))
+
+
+def test_words_beyond_a_limit_are_not_named(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "NAMED_TERMS", 2)
+    assert lexical.first_words(spark.createDataFrame([("a b a",)], "text string")) == ["a", "b"]
+    assert lexical.first_words(spark.createDataFrame([("a b c",)], "text string")) is None
+
+
 def test_remove_and_add_again(spark, index):
     ids = spark.createDataFrame([("d1:0",), ("none",)], "chunk_id string")
     assert find(spark, lexical.without(index, ids, index.statistics), "budget") == ["d2:0"]
